@@ -17,14 +17,14 @@ def join_parent(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Equi join ``child`` to ``parent`` (unique on ``key``, knowing its number of child rows in ``size``).
+    """Equi join ``child`` to ``parent``, whose rows know in ``size`` how many child rows their key has.
 
     Parents above ``hot_rows`` child rows are replicated once per ``hot_rows`` and their children spread over
     the copies by a hash of ``spread``, so no task receives more than about ``hot_rows`` rows of one parent.
     The list of hot parents is broadcast; it cannot be longer than total rows / ``hot_rows``.
     """
     parts = F.ceil(F.col(size) / F.lit(hot_rows)).cast("int")
-    hot = parent.filter(F.col(size) > hot_rows).select(key, parts.alias("_parts"))
+    hot = parent.filter(F.col(size) > hot_rows).select(key, parts.alias("_parts")).distinct()
     left = child.join(F.broadcast(hot), key, "left").withColumn(
         "_salt", F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"))
     )

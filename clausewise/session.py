@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,14 +34,21 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame, eager: bool = False) -> DataFrame:
-    """Cut lineage through the checkpoint folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors see, from ``spark.checkpoint.dir``; a scratch folder only where that is unset (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (tests) a scratch folder is used.
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write a stage result to the shared folder once and go on from the written table.
+
+    Cuts the lineage, so later steps neither recompute it nor plan it again, and losing executors costs nothing.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint(eager=eager)
+    path = f"{shared_folder(spark).rstrip('/')}/clausewise-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
