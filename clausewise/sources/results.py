@@ -139,8 +139,13 @@ def _key(spark: SparkSession) -> Column:
 def encrypt_map(spark: SparkSession, mapping: Column) -> Column:
     """AES-256-GCM of the map as JSON, laid out nonce (12), tag (16), ciphertext."""
     sealed = F.aes_encrypt(F.to_json(mapping).cast("binary"), _key(spark), F.lit("GCM"))
-    size = F.octet_length(sealed)
-    return F.concat(F.substring(sealed, 1, NONCE), sealed.substr(size - TAG + 1, F.lit(TAG)), sealed.substr(F.lit(NONCE + 1), size - NONCE - TAG))
+
+    def arranged(b: Column) -> Column:
+        size = F.octet_length(b)
+        return F.concat(F.substring(b, 1, NONCE), b.substr(size - TAG + 1, F.lit(TAG)), b.substr(F.lit(NONCE + 1), size - NONCE - TAG))
+
+    # the nonce is drawn per evaluation, so the sealed bytes are bound once and then cut
+    return F.transform(F.array(sealed), arranged)[0]
 
 
 def decrypt_map(spark: SparkSession, stored: Column) -> Column:

@@ -59,7 +59,7 @@ def parse_events(raw: DataFrame) -> DataFrame:
     """Add the fields of the JSON payload; ``malformed`` marks rows that are no JSON object or name no type."""
     parsed = raw.withColumn("_e", F.from_json("payload", PAYLOAD, {"mode": "PERMISSIVE"}))
     return parsed.select("*", F.col("_e.type").alias("type"), F.col("_e.status").alias("status"), F.col("_e.progress").alias("progress"),
-                         F.col("_e.message").alias("message"), F.col("_e.type").isNull().alias("malformed")).drop("_e")
+                         F.col("_e.message").alias("message"), F.col("_e.clause").alias("clause"), F.col("_e.issue").alias("issue"), F.col("_e.type").isNull().alias("malformed")).drop("_e")
 
 
 def well_formed(parsed: DataFrame) -> DataFrame:
