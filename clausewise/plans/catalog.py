@@ -482,7 +482,7 @@ def ocr_lines(s, d):
     return built.select(
         "audit_id", F.length("text").cast("bigint").alias("n_chars"), F.size("words").cast("bigint").alias("n_words"), "estimated",
         F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + w["off"]).alias("sum_off"),
-        maths.half_up(F.aggregate("words", F.lit(0.0), lambda a, w: a + w["box"]["x1"] - w["box"]["x0"]), 3).alias("sum_width"),
+        maths.half_up(F.aggregate("words", F.lit(1e-9), lambda a, w: a + w["box"]["x1"] - w["box"]["x0"]), 3).alias("sum_width"),
     )
 
 
@@ -618,9 +618,10 @@ def exact_anchor(s, d):
 
 
 def _page_quotes(s, d) -> DataFrame:
-    """Quotes of every third page of each document: a stretch of it in capitals with doubled blanks."""
+    """Quotes of every third page of each document: a stretch of it with its (plain) letters raised and blanks doubled."""
+    low, high = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     p = _pages(s, d).filter((F.length("text") >= 60) & (F.col("page_no") % 3 == 1))
-    return p.select("audit_id", F.upper(F.replace(F.substring("text", 11, 40), F.lit(" "), F.lit("  "))).alias("quote"))
+    return p.select("audit_id", F.translate(F.replace(F.substring("text", 11, 40), F.lit(" "), F.lit("  ")), low, high).alias("quote"))
 
 
 @query

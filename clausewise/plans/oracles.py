@@ -279,7 +279,7 @@ e AS (SELECT audit_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i, ls F
 b AS (SELECT *, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS base, list_filter(string_split(line, ' '), lambda w: w <> '') AS ws FROM e),
 s AS (SELECT audit_id, sum(length(line) + 1) AS n_chars, sum(len(ws)) AS n_words, sum(len(ws) * base + coalesce(list_sum(list_transform(range(1, len(ws) + 1), lambda j: (len(ws) - j) * (length(ws[j]) + 1))), 0)) AS o,
   sum(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) / greatest(length(line), 1) * 0.9) AS wd FROM b GROUP BY 1)
-SELECT doc_id AS audit_id, coalesce(n_chars, 0)::BIGINT AS n_chars, coalesce(n_words, 0)::BIGINT AS n_words, doc_id % 10 <> 3 AND doc_id % 2 = 0 AS estimated, coalesce(o, 0)::BIGINT AS sum_off, floor(coalesce(wd, 0) * 1000 + 0.5) / 1000 AS sum_width FROM documents LEFT JOIN s ON doc_id = audit_id"""
+SELECT doc_id AS audit_id, coalesce(s.n_chars, 0)::BIGINT AS n_chars, coalesce(n_words, 0)::BIGINT AS n_words, doc_id % 10 <> 3 AND doc_id % 2 = 0 AS estimated, coalesce(o, 0)::BIGINT AS sum_off, floor((coalesce(wd, 0) + 1e-9) * 1000 + 0.5) / 1000 AS sum_width FROM documents LEFT JOIN s ON doc_id = s.audit_id"""
 
 # --- personal data ----------------------------------------------------------------------------------------
 
@@ -314,8 +314,10 @@ ORACLES["pii_skipped"] = PII + "SELECT audit_id, 'UNKNOWN_PII_ENTITY_TYPES' AS c
 ORACLES["pii_anonymise"] = f"""WITH docs AS (SELECT doc_id AS audit_id, text FROM documents), raw_spans AS ({_found('EMAIL_ADDRESS', EMAIL, '1.0')} UNION ALL {_found('IP_ADDRESS', IP, '0.95')}),
 a AS (SELECT *, s + length(value) AS e, CASE entity WHEN 'IP_ADDRESS' THEN '<ip>' ELSE '####' || substr(value, 5) END AS ph FROM raw_spans), b AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY audit_id ORDER BY s), 0) AS prev FROM a)
 SELECT audit_id, md5(string_agg(substr(text, prev + 1, s - prev) || ph, '' ORDER BY s) || substr(any_value(text), max(e) + 1)) AS digest, count(*) AS n_items FROM b JOIN docs USING (audit_id) GROUP BY 1"""
-ORACLES["pii_financial"] = f"""WITH o AS (SELECT o_orderkey AS audit_id, lpad((o_orderkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS nine FROM orders)
-SELECT audit_id, unnest(['FINANCIAL_ACCOUNT', 'CA_SIN', 'CA_BANK_TRANSIT', 'ADDRESS']) AS entity, unnest([17, 34, 79, 109])::BIGINT AS start_at, unnest([28, 45, 88, 116])::BIGINT AS end_at,
+ORACLES["pii_financial"] = f"""WITH k AS (SELECT o_orderkey AS audit_id, lpad((o_orderkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS nine FROM orders),
+o AS (SELECT *, 'Mortgage account 123-' || lpad(audit_id::VARCHAR, 7, '0') || '. SIN ' || nine[1:3] || ' ' || nine[4:6] || ' ' || nine[7:9] || '. Nothing near here at all but 12345-' || lpad((audit_id % 1000)::VARCHAR, 3, '0') || ' and mailing address M5V 3A8' AS t FROM k)
+SELECT audit_id, unnest(['FINANCIAL_ACCOUNT', 'CA_SIN', 'CA_BANK_TRANSIT', 'ADDRESS']) AS entity, unnest([strpos(t, '123-') - 1, strpos(t, 'SIN ') + 3, strpos(t, 'but ') + 3, strpos(t, 'M5V') - 1]) AS start_at,
+  unnest([strpos(t, '. SIN') - 1, strpos(t, '. Nothing') - 1, strpos(t, ' and mailing') - 1, length(t)]) AS end_at,
   unnest([0.85, CASE WHEN {_luhn('nine')} THEN 1.0 ELSE 0.95 END, 0.5, 1.0])::DOUBLE AS score FROM o"""
 STARTS = "starts AS (SELECT audit_id, page_no, (sum(length(text) + 1) OVER (PARTITION BY audit_id ORDER BY page_no) - length(text) - 1)::BIGINT AS ps, text FROM page_rows)"
 
@@ -327,8 +329,8 @@ def _moved(offset: str) -> str:
 
 ORACLES["offset_rebase"] = _with(SPANS, PAGES, STARTS) + f"SELECT audit_id, page_no, ps AS page_start, {_moved('ps')} AS new_start FROM starts q WHERE audit_id IN (SELECT audit_id FROM pii_named)"
 ORACLES["word_rebase"] = _with(SPANS, PAGES, STARTS) + f""", ws AS (SELECT audit_id, page_no, ps, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM starts WHERE audit_id IN (SELECT audit_id FROM pii_named)),
-q AS (SELECT *, ps + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS at FROM ws WHERE w[i] <> '')
-SELECT s.audit_id, s.page_no, coalesce(sum_off, 0)::BIGINT AS sum_off FROM starts s LEFT JOIN (SELECT audit_id, page_no, sum({_moved('at')} - {_moved('ps')}) AS sum_off FROM q GROUP BY 1, 2) USING (audit_id, page_no) WHERE audit_id IN (SELECT audit_id FROM pii_named)"""
+q AS (SELECT *, ps + coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS off FROM ws WHERE w[i] <> '')
+SELECT s.audit_id, s.page_no, coalesce(sum_off, 0)::BIGINT AS sum_off FROM starts s LEFT JOIN (SELECT audit_id, page_no, sum({_moved('off')} - {_moved('ps')}) AS sum_off FROM q GROUP BY 1, 2) USING (audit_id, page_no) WHERE audit_id IN (SELECT audit_id FROM pii_named)"""
 ORACLES["span_page"] = _with(SPANS, PAGES, STARTS) + "SELECT n.audit_id, s AS start_at, kind, coalesce(p.page_no, 1) AS page_no FROM pii_named n LEFT JOIN starts p ON n.audit_id = p.audit_id AND s BETWEEN ps AND ps + length(p.text)"
 ORACLES["luhn"] = f"WITH o AS (SELECT lpad((o_orderkey * 7919 % 1000000000)::VARCHAR, 9, '0') AS number FROM orders) SELECT number, {_luhn('number')} AS valid FROM o"
 
@@ -341,12 +343,14 @@ def _norm(x: str) -> str:
 
 ORACLES["exact_anchor"] = f"SELECT item_id, doc_id FROM (SELECT item_id, {_norm('text')} AS q FROM benchmark) JOIN (SELECT doc_id, {_norm('text')} AS t FROM documents) ON contains(t, q)"
 QUOTES = f"""page_norm AS (SELECT *, {_norm('text')} AS t FROM page_rows),
-wanted AS (SELECT DISTINCT audit_id, {_norm("upper(replace(substr(text, 11, 40), ' ', '  '))")} AS norm FROM page_rows WHERE length(text) >= 60 AND page_no % 3 = 1 AND regexp_matches(substr(text, 11, 40), '\\S')),
+wanted AS (SELECT DISTINCT audit_id, {_norm("replace(substr(text, 11, 40), ' ', '  ')")} AS norm FROM page_rows WHERE length(text) >= 60 AND page_no % 3 = 1 AND regexp_matches(substr(text, 11, 40), '\\S')),
 firsts AS (SELECT w.audit_id, norm, min(page_no) AS page_no FROM wanted w JOIN page_norm p ON w.audit_id = p.audit_id AND contains(t, norm) GROUP BY 1, 2)"""
 ORACLES["anchor_first_page"] = _with(PAGES, QUOTES) + "SELECT audit_id, md5(norm) AS q, page_no FROM firsts"
+ORACLES["raw_offsets"] = _with(PAGES, QUOTES) + """SELECT f.audit_id, md5(norm) AS q, strpos(lower(text), norm) - 1 AS off_start, strpos(lower(text), norm) - 1 + length(norm) AS off_end, sha256(substr(text, strpos(lower(text), norm), length(norm))) AS text_hash
+  FROM firsts f JOIN page_norm p ON f.audit_id = p.audit_id AND f.page_no = p.page_no"""
 ORACLES["anchor_boxes"] = _with(PAGES) + """, ws AS (SELECT audit_id, page_no, length(text) AS n, string_split(text, ' ') AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM page_rows),
-placed AS (SELECT *, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS at FROM ws WHERE w[i] <> ''),
-hit AS (SELECT audit_id, page_no, min(at / n) AS x0, max((at + length(w[i])) / n) AS x1 FROM placed WHERE at < 40 AND at + length(w[i]) > 10 GROUP BY 1, 2)
+placed AS (SELECT *, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS off FROM ws WHERE w[i] <> ''),
+hit AS (SELECT audit_id, page_no, min(off / n) AS x0, max((off + length(w[i])) / n) AS x1 FROM placed WHERE off < 40 AND off + length(w[i]) > 10 GROUP BY 1, 2)
 SELECT audit_id, page_no, x0 IS NULL AS full_page, floor(coalesce(x0, 0) * 1000000 + 0.5) / 1000000 AS x0, floor(coalesce(x1, 1) * 1000000 + 0.5) / 1000000 AS x1 FROM page_rows LEFT JOIN hit USING (audit_id, page_no)"""
 ORACLES["levenshtein"] = "SELECT p_partkey, levenshtein(p_name, s_name) AS distance FROM part JOIN supplier ON p_partkey % 10 = s_suppkey"
 

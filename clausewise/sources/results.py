@@ -150,7 +150,12 @@ def encrypt_map(spark: SparkSession, mapping: Column) -> Column:
 
 def decrypt_map(spark: SparkSession, stored: Column) -> Column:
     """The map back; null where the bytes are too short, the tag or key is wrong, or the content is no JSON."""
-    size = F.octet_length(stored)
-    native = F.concat(F.substring(stored, 1, NONCE), stored.substr(F.lit(NONCE + TAG + 1), size - NONCE - TAG), F.substring(stored, NONCE + 1, TAG))
-    plain = F.try_aes_decrypt(native, _key(spark), F.lit("GCM")).cast("string")
-    return F.when(size > NONCE + TAG, F.from_json(plain, "map<string,string>"))
+    key = _key(spark)
+
+    def opened(b: Column) -> Column:
+        size = F.octet_length(b)
+        native = F.concat(F.substring(b, 1, NONCE), b.substr(F.lit(NONCE + TAG + 1), size - NONCE - TAG), F.substring(b, NONCE + 1, TAG))
+        plain = F.try_aes_decrypt(native, key, F.lit("GCM")).cast("string")
+        return F.when(size > NONCE + TAG, F.from_json(plain, "map<string,string>"))
+
+    return F.transform(F.array(stored), opened)[0]
