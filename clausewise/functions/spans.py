@@ -18,10 +18,17 @@ def cut(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(safe, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
 
 
+STRIDE = 128  # even, so that matches stay at odd places within every stretch
+
+
 def located(pieces: Column) -> Column:
-    """Spans of the matches in a cut text, in order: ``array<struct<start int, end int>>``. Pass a plain column."""
+    """Spans of the matches in a cut text, in order: ``array<struct<start int, end int>>``. Pass a plain column.
+
+    The pieces are walked in stretches, since appending to one long array would copy it for every piece.
+    """
     none = F.array().cast("array<struct<start:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
+    inner_zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), none.alias("out"))
+    outer_zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases"))
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
@@ -32,7 +39,22 @@ def located(pieces: Column) -> Column:
             F.when(acc["inside"], F.concat(acc["out"], hit)).otherwise(acc["out"]).alias("out"),
         )
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, zero, step, lambda acc: acc["out"])).otherwise(none)
+    def base(acc: Column, stretch: Column) -> Column:
+        return F.struct((acc["at"] + stretch["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases"))
+
+    def shifted(stretch: Column, by: Column) -> Column:
+        return F.transform(stretch["out"], lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end")))
+
+    begins = F.sequence(F.lit(1), F.size(pieces), F.lit(STRIDE))
+    stretches = F.transform(begins, lambda i: F.aggregate(F.slice(pieces, i, STRIDE), inner_zero, step))
+
+    def joined(found: Column) -> Column:
+        bases = F.aggregate(found, outer_zero, base, lambda acc: acc["bases"])
+        return F.flatten(F.zip_with(found, bases, shifted))
+
+    short = F.aggregate(pieces, inner_zero, step, lambda acc: acc["out"])
+    long = F.transform(F.array(stretches), joined)[0]
+    return F.when(F.size(pieces) <= 1, none).when(F.size(pieces) <= STRIDE, short).otherwise(long)
 
 
 def find(text: Column, pattern: str) -> Column:

@@ -23,14 +23,18 @@ from clausewise.sources.reference_data import (
 )
 
 
-def lookup_key(category: Column, label: Column, normalise_underscores: bool = False) -> Column:
+def lookup_label(label: Column, normalise_underscores: bool = False) -> Column:
+    """A clause label as it is compared with the lookup keys."""
+    text = F.lower(F.trim(label))
+    return F.replace(text, F.lit("_"), F.lit(" ")) if normalise_underscores else text
+
+
+def lookup_key(category: Column, text: Column) -> Column:
     """Rate category of a clause: exact label, then the first key containing or contained in it, then category.
 
-    The key lists are fixed and short, so this is one CASE expression: no join, no shuffle, no skew.
+    The key lists are fixed and short, so this is one CASE expression: no join, no shuffle, no skew. ``text`` is
+    a ``lookup_label``; pass it as a plain column, since it is compared with every key.
     """
-    text = F.lower(F.trim(label))
-    if normalise_underscores:
-        text = F.replace(text, F.lit("_"), F.lit(" "))
     exact = lookup(text, LABEL_KEYS)
     near = None
     for key, value in LABEL_KEYS.items():
@@ -39,6 +43,12 @@ def lookup_key(category: Column, label: Column, normalise_underscores: bool = Fa
     return F.coalesce(exact, near, lookup(category, CATEGORY_KEYS))
 
 
+def with_lookup_key(clauses: DataFrame, out: str = "rate_key", normalise_underscores: bool = False) -> DataFrame:
+    """Add the rate category of every clause (null where there is none)."""
+    named = clauses.withColumn("_label", lookup_label(F.col("label"), normalise_underscores))
+    return named.withColumn(out, lookup_key(F.col("category"), F.col("_label"))).drop("_label")
+
+
 def source_prefix(source_name: Column) -> Column:
     return F.trim(F.split_part(source_name, F.lit("|"), F.lit(1)))
 
@@ -123,9 +133,7 @@ def deltas(clauses: DataFrame, rates: DataFrame) -> DataFrame:
     The rates are at most as many as there are lookup keys, so they are broadcast. ``unit_mismatch`` marks
     clauses whose own unit is not that of the rate.
     """
-    keyed = clauses.withColumn("rate_key", lookup_key(F.col("category"), F.col("label"))).filter(
-        F.col("numeric_value").isNotNull() & F.col("rate_key").isNotNull()
-    )
+    keyed = with_lookup_key(clauses.filter(F.col("numeric_value").isNotNull()))
     rate = F.col("rate_value")
     delta = F.col("numeric_value") - rate
     percent = F.when(rate != 0, delta / F.nullif(rate, F.lit(0.0)) * 100).otherwise(F.lit(0.0))

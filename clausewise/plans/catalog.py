@@ -92,9 +92,8 @@ def lookup_key_resolution(s, d):
     c = _clauses(s, d)
     p = sample_tables.table(s, d, "part").select(F.concat("p_name", F.lit(" "), "p_type").alias("label"), F.lit("fees").alias("category"))
     both = c.select("label", "category").unionByName(p)
-    plain = benchmark.lookup_key(F.col("category"), F.col("label"))
-    cleaned = benchmark.lookup_key(F.col("category"), F.col("label"), normalise_underscores=True)
-    return both.select("label", "category", plain.alias("rate_key"), cleaned.alias("rate_key_clean")).groupBy("label", "category", "rate_key", "rate_key_clean").agg(F.count("*").alias("n"))
+    keyed = benchmark.with_lookup_key(benchmark.with_lookup_key(both), "rate_key_clean", normalise_underscores=True)
+    return keyed.groupBy("label", "category", "rate_key", "rate_key_clean").agg(F.count("*").alias("n"))
 
 
 @query
@@ -587,7 +586,7 @@ def word_rebase(s, d):
     """Word offsets of all pages of redacted documents, moved with the text."""
     r = _redacted(s, d).filter(F.size("entities") > 0)
     p = _pages(s, d)
-    words = p.join(page_text.page_starts(p), ["audit_id", "page_no"]).join(r.select("audit_id"), "audit_id", "left_semi").withColumn("words", page_text.words_of(F.col("text")))
+    words = page_text.with_words(p.join(page_text.page_starts(p), ["audit_id", "page_no"]).join(r.select("audit_id"), "audit_id", "left_semi"))
     moved = pii.rebase_words(words, r)
     return moved.select("audit_id", _long("page_no"), F.aggregate("words", F.lit(0).cast("bigint"), lambda a, w: a + w["off"]).alias("sum_off"))
 
@@ -632,7 +631,7 @@ def anchor_first_page(s, d):
 
 @query
 def anchor_boxes(s, d):
-    p = _pages(s, d).withColumn("words", page_text.words_of(F.col("text")))
+    p = page_text.with_words(spread(_pages(s, d)))
     anchors = _pages(s, d).select("audit_id", "page_no", F.lit(10).alias("off_start"), F.lit(40).alias("off_end"))
     b = cite.anchor_boxes(anchors, p)
     return b.select("audit_id", _long("page_no"), "full_page", maths.half_up(F.col("box.x0"), 6).alias("x0"), maths.half_up(F.col("box.x1"), 6).alias("x1"))

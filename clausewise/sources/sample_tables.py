@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewise.functions.skew import spread
 from clausewise.sources.reference_data import CONTRACT_TYPES
 
 
@@ -80,7 +81,7 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("The "), F.replace(label, F.lit("_"), F.lit(" ")), F.lit(" is "), raw, F.lit(" here.")))
     )
     pos = n.cast("bigint") * F.lit(1 << 60) + row_hash
-    lines = table(spark, sf_dir, "lineitem").select(
+    lines = spread(table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("audit_id"),
         pos.alias("pos"),
         F.concat(F.lit("c"), F.col("l_orderkey").cast("string"), F.lit("_"), pos.cast("string")).alias("clause_id"),
