@@ -32,21 +32,23 @@ def lookup_label(label: Column, normalise_underscores: bool = False) -> Column:
 def lookup_key(category: Column, text: Column) -> Column:
     """Rate category of a clause: exact label, then the first key containing or contained in it, then category.
 
-    The key lists are fixed and short, so this is one CASE expression: no join, no shuffle, no skew. ``text`` is
-    a ``lookup_label``; pass it as a plain column, since it is compared with every key.
+    The key lists are fixed and short, so this is one expression: no join, no shuffle, no skew. ``text`` is a
+    ``lookup_label``. It is bound once for all comparisons, because the optimiser repeats this expression in
+    pushed-down filters with its inputs spelled out.
     """
-    exact = lookup(text, LABEL_KEYS)
-    near = None
-    for key, value in LABEL_KEYS.items():
-        hit = text.contains(key) | F.contains(F.lit(key), text)
-        near = F.when(hit, F.lit(value)) if near is None else near.when(hit, F.lit(value))
-    return F.coalesce(exact, near, lookup(category, CATEGORY_KEYS))
+    keys = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in LABEL_KEYS.items()])
+    exact = F.create_map(*[F.lit(x) for pair in LABEL_KEYS.items() for x in pair])
+
+    def resolved(label: Column) -> Column:
+        near = F.filter(keys, lambda k: F.contains(label, k["key"]) | F.contains(k["key"], label))
+        return F.coalesce(F.try_element_at(exact, label), F.get(near, F.lit(0))["value"])
+
+    return F.coalesce(F.transform(F.array(text), resolved)[0], lookup(category, CATEGORY_KEYS))
 
 
 def with_lookup_key(clauses: DataFrame, out: str = "rate_key", normalise_underscores: bool = False) -> DataFrame:
     """Add the rate category of every clause (null where there is none)."""
-    named = clauses.withColumn("_label", lookup_label(F.col("label"), normalise_underscores))
-    return named.withColumn(out, lookup_key(F.col("category"), F.col("_label"))).drop("_label")
+    return clauses.withColumn(out, lookup_key(F.col("category"), lookup_label(F.col("label"), normalise_underscores)))
 
 
 def source_prefix(source_name: Column) -> Column:

@@ -177,7 +177,7 @@ def risk_scores(audits: DataFrame, found: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     return joined.select(
         *audits.columns,
-        F.coalesce(F.least(F.lit(100.0), half_up(F.round("raw", 9))), F.lit(0.0)).cast("int").alias("risk_score"),
+        F.least(F.lit(100.0), half_up(F.round(F.coalesce("raw", F.lit(0.0)), 9))).cast("int").alias("risk_score"),
         *[F.coalesce(F.col(c), zero).alias(c) for c in ("n_issues", "n_critical", "n_high", "n_medium")],
     )
 

@@ -136,7 +136,7 @@ ITEMS = f"""items AS (
   FROM compared_graded WHERE direction = 'UNFAVORABLE')"""
 
 SCORES = f"""scores AS (
-  SELECT a.*, coalesce(least(100, floor(round(raw, 9) + 0.5)), 0)::BIGINT AS risk_score, coalesce(n_issues, 0) AS n_issues, coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium
+  SELECT a.*, least(100, floor(round(coalesce(raw, 0), 9) + 0.5))::BIGINT AS risk_score, coalesce(n_issues, 0) AS n_issues, coalesce(n_critical, 0) AS n_critical, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium
   FROM audits a LEFT JOIN (SELECT audit_id, sum({_case('severity', ref.SEVERITY_WEIGHT)} * confidence) AS raw, count(*) AS n_issues, count(*) FILTER (severity = 'CRITICAL') AS n_critical,
     count(*) FILTER (severity = 'HIGH') AS n_high, count(*) FILTER (severity = 'MEDIUM') AS n_medium FROM graded GROUP BY audit_id) USING (audit_id))"""
 

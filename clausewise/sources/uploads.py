@@ -12,7 +12,10 @@ MIME_BY_SUFFIX = {"pdf": "application/pdf", "png": "image/png", "jpg": "image/jp
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder as uploads: ``upload_id (path), mime (by suffix), content, size``."""
+    """Files of a folder as uploads: ``upload_id (path), mime (by suffix), content, size``.
+
+    The file source passes over files of length 0; empty uploads show up in the base64 or table intake only.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     suffix = F.lower(F.element_at(F.split("path", r"\."), -1))
     return files.select(
