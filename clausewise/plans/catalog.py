@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clausewise.functions import maths, text
 from clausewise.functions import spans as sp
 from clausewise.functions.skew import spread
+from clausewise.plans import audit_flow as flow
 from clausewise.operators import benchmark, checks, cite, extract, gate, issues, pii, report, validate
 from clausewise.session import materialise, tune
 from clausewise.sources import page_text, rate_feeds, results, sample_tables, uploads
@@ -917,3 +918,21 @@ def stream_history(s, d):
     out = _drained(s, ev.stream_history(_stream_source(s, d), 100), "update")
     newest = out.groupBy("audit_id").agg(F.max("batch").alias("batch"))
     return out.join(newest, ["audit_id", "batch"]).select("audit_id", "seq", "closed")
+
+
+# --- everything -------------------------------------------------------------------------------------------
+
+
+@query
+def audit_flow(s, d):
+    """The whole path for one contract per order: redact, classify, extract, compare, cost, anchor, gate, score."""
+    k = F.col("audit_id").cast("string")
+    docs = spread(_contract_texts(s, d)).select("audit_id", F.concat("text", F.lit("\nReach the borrower at b"), k, F.lit("@mail.example.com.\nEnd of contract.")).alias("text"))
+    given = flow.intake_by_rules(docs)
+    got = flow.run_audits(given["audits"], given["clauses"], given["pages"], ref.rates(s), now=NOW)
+    verified = got["clauses"].groupBy("audit_id").agg(F.count_if("verified").alias("n_verified"), F.count_if("full_page").alias("n_full_page"))
+    passed = got["issues"].groupBy("audit_id").agg(F.count_if(F.col("gate") == "passed").alias("n_passed"))
+    warned = got["warnings"].groupBy("audit_id").agg(F.count("*").alias("n_warnings"))
+    joined = got["audits"].join(got["costs"].select("audit_id", "total_cost"), "audit_id").join(given["pii"].select("audit_id", _long("total_redacted")), "audit_id")
+    joined = joined.join(verified, "audit_id", "left").join(passed, "audit_id", "left").join(warned, "audit_id", "left")
+    return joined.select("audit_id", "contract_type", _long("risk_score"), "n_issues", "total_cost", "total_redacted", "n_verified", "n_full_page", F.coalesce("n_passed", F.lit(0)).alias("n_passed"), F.coalesce("n_warnings", F.lit(0)).alias("n_warnings"))

@@ -408,3 +408,11 @@ ORACLES["state_merge"] = """SELECT user_id AS audit_id, arg_max(event_type, even
 ORACLES["stream_progress"] = EV + "SELECT audit_id, arg_max(progress, seq) AS progress FROM ev WHERE type = 'status_change' GROUP BY 1"
 ORACLES["stream_history"] = EV + """SELECT e.audit_id, seq, closed FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY seq DESC) AS age FROM ev) e
   JOIN (SELECT audit_id, count(*) FILTER (type = 'complete') > 0 AS closed FROM ev GROUP BY 1) USING (audit_id) WHERE age <= 100"""
+
+# --- everything -------------------------------------------------------------------------------------------
+
+ORACLES["audit_flow"] = f"""WITH o AS (SELECT o_orderkey AS audit_id, floor(o_totalprice)::DOUBLE AS p, (o_orderkey % 9 * 100 + o_orderkey % 100) / 100.0 AS rate, (o_orderkey % 30 * 12)::DOUBLE AS n, 'interest_rate' AS category FROM orders),
+c AS (SELECT *, rate - 3.94 AS gap, CASE WHEN rate - 3.94 > 0.001 THEN {_severity('floor((rate - 3.94) / 3.94 * 100 * 100 + 0.5) / 100')} WHEN rate - 3.94 < -0.001 THEN 'INFO' END AS severity FROM o)
+SELECT audit_id, CASE WHEN audit_id % 2 = 0 THEN 'MORTGAGE' ELSE 'AUTO_LOAN' END AS contract_type, floor(coalesce({_case('severity', ref.SEVERITY_WEIGHT)}, 0) * 0.7 + 0.5)::BIGINT AS risk_score, (severity IS NOT NULL)::BIGINT AS n_issues,
+  CASE WHEN gap > 0.001 THEN floor({_extra('p', 'rate', '3.94', 'n')} + 0.5) ELSE 0 END AS total_cost, 1::BIGINT AS total_redacted, CASE WHEN audit_id % 2 = 0 THEN 3 ELSE 4 END::BIGINT AS n_verified, 0::BIGINT AS n_full_page,
+  (severity IS NOT NULL)::BIGINT AS n_passed, 0::BIGINT AS n_warnings FROM c"""
