@@ -159,7 +159,7 @@ def merge_updates(updates: DataFrame, fields: list[str]) -> DataFrame:
 
 
 class LastEvents(StatefulProcessor):
-    """Keeps the newest events of an audit and clears them at its terminal event; emits each event with its place."""
+    """Keeps the newest events of an audit and marks it closed once a terminal event came."""
 
     def __init__(self, keep: int = HISTORY_EVENTS):
         self.keep = keep

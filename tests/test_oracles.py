@@ -21,7 +21,10 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_twin(spark, con, name):
-    got = canonical(queries()[name](spark, SF).toPandas())
+    df = queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    got = canonical(df.toPandas())
     want = canonical(con.execute(oracle_sql()[name]).df())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
