@@ -138,6 +138,9 @@ def test_upsert_is_idempotent(spark):
     twice = rate_feeds.upsert(once, seed.withColumn("value", F.col("value") + 1))
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect())) and once.count() == 15
     assert rate_feeds.stale(seed, datetime(2026, 3, 5)).count() == 1
+    audits = spark.createDataFrame([(1,), (2,)], "audit_id int")
+    assert [r.message[:1] for r in rate_feeds.stale_warnings(audits, seed, datetime(2026, 3, 5)).collect()] == ["1", "1"]
+    assert rate_feeds.stale_warnings(audits, seed, datetime(2026, 3, 1)).count() == 0
 
 
 def test_bands(spark):
