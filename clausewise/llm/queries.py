@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import curriculum, licenses, ppm, toxicity, warc
+from clausewise.llm import curriculum, decontaminate, licenses, ppm, quality, toxicity, warc
 from clausewise.llm.sql import ORACLES
 from clausewise.llm.textkit import prepare
 from clausewise.session import materialise, shared_folder, tune
@@ -36,6 +36,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@query
+def op3_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
@@ -54,6 +59,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(_table(spark, sf_dir, "documents"))

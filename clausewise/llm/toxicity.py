@@ -199,14 +199,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.nd
     for value, rows in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
         some = known.filter(F.col("toxic") == value).orderBy("turn", "doc_id").limit(rows)
         chosen = some if chosen is None else chosen.union(some)
-    # at most TOXIC_ROWS + CLEAN_ROWS rows of two numbers
+    table = fetched(docs, chosen, TOXIC_ROWS + CLEAN_ROWS, SAMPLE_BYTES)
+    return table["text"].combine_chunks(), table["toxic"].to_numpy()
+
+
+def fetched(docs: DataFrame, chosen: DataFrame, rows: int, limit: int) -> pa.Table:
+    """Texts of the ``chosen(doc_id, turn, …)`` ids, of which there are at most ``rows``, in the order of ``turn``.
+
+    Ends before the text that would take the sum of bytes above ``limit``; of repeated ids at most twice ``rows`` count.
+    """
     found = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").filter("text is not null"))
     run = Window.orderBy("turn", "doc_id", "size")
-    sizes = found.select("doc_id", "turn", F.octet_length("text").cast("bigint").alias("size")).limit(2 * (TOXIC_ROWS + CLEAN_ROWS))
-    edge = sizes.withColumn("sum", F.sum("size").over(run)).filter(F.col("sum") <= SAMPLE_BYTES).agg(F.max(F.struct("turn", "doc_id")).alias("last"))
-    kept = found.join(F.broadcast(edge), F.struct("turn", "doc_id") <= F.col("last")).select("text", "toxic", "turn", "doc_id")
-    table = kept.orderBy("turn", "doc_id", "text").select("text", "toxic").toArrow()
-    return table["text"].combine_chunks(), table["toxic"].to_numpy()
+    sizes = found.select("doc_id", "turn", F.octet_length("text").cast("bigint").alias("size")).limit(2 * rows)
+    edge = sizes.withColumn("sum", F.sum("size").over(run)).filter(F.col("sum") <= limit).agg(F.max(F.struct("turn", "doc_id")).alias("last"))
+    kept = found.join(F.broadcast(edge), F.struct("turn", "doc_id") <= F.col("last")).drop("last")
+    return kept.orderBy("turn", "doc_id", "text").toArrow()
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
