@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import curriculum, decontaminate, licenses, ppm, quality, toxicity, warc
+from clausewise.llm import curriculum, decontaminate, forest, licenses, ppm, quality, toxicity, warc
 from clausewise.llm.sql import ORACLES
 from clausewise.llm.textkit import prepare
 from clausewise.session import materialise, shared_folder, tune
@@ -31,6 +31,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest.search(_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
