@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import curriculum, decontaminate, forest, licenses, ppm, quality, toxicity, warc
+from clausewise.llm import curriculum, decontaminate, forest, licenses, ppm, private_data, quality, toxicity, warc
 from clausewise.llm.sql import ORACLES
 from clausewise.llm.textkit import prepare
 from clausewise.session import materialise, shared_folder, tune
@@ -64,6 +64,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_contextual_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.find(_table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"))
