@@ -30,9 +30,10 @@ WINDOW = 8
 EPOCHS = 12
 BATCH = 256
 RATE = 0.3
-TOXIC_ROWS = 4000
-CLEAN_ROWS = 8000
-SAMPLE_BYTES = 64 << 20
+TOXIC_ROWS = 3000
+CLEAN_ROWS = 6000
+SAMPLE_BYTES = 32 << 20
+SLICE_WORDS = 40_000
 CUT = 0.7
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -43,6 +44,12 @@ def held_out(doc_id: Column, parts: int, which: int) -> Column:
 
 def subwords(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of each word, flat, and their offsets. Punctuation at a word's ends is not part of it."""
+    parts = [_subwords(distinct.slice(a, SLICE_WORDS)) for a in range(0, len(distinct), SLICE_WORDS)]
+    sizes = np.concatenate([np.diff(of) for _, of in parts])
+    return np.concatenate([b for b, _ in parts]), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def _subwords(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     plain = [w.decode("utf-8", "replace").strip(EDGES) for w in distinct.to_pylist()]
     points = np.frombuffer("".join(f"<{w}>" for w in plain).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter((len(w) + 2 for w in plain), np.int64, len(plain))
