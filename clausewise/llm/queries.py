@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import curriculum, decontaminate, forest, licenses, ppm, private_data, quality, toxicity, warc
+from clausewise.llm import curriculum, decontaminate, forest, licenses, partenum, ppm, private_data, quality, toxicity, warc
 from clausewise.llm.sql import ORACLES
 from clausewise.llm.textkit import prepare
 from clausewise.session import materialise, shared_folder, tune
@@ -59,6 +59,11 @@ def op5_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(_table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.join(_table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 @query
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
