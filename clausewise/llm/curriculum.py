@@ -75,19 +75,21 @@ def due_time(share: Column, knots: tuple) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, most: int = MOST) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, most: int = MOST, carried: bool = False) -> DataFrame:
     """``doc_id, source, text`` (and more) to ``doc_id, source, size, source_size, target, taken, position``, a row per row.
 
     ``position`` is the due time of the first copy; later copies are due at ``training_order``'s times. A third of
     all rows may belong to one source: the running count of words inside a source is cut by leading digits of the
-    MD5 into buckets of about ``BUCKET_ROWS`` rows, whose sums are added up first.
+    MD5 into buckets of about ``BUCKET_ROWS`` rows, whose sums are added up first. With ``carried`` the whole row comes
+    along in the struct ``doc``.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = docs.select("doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"))
+    along = [F.struct(*docs.columns).alias("doc")] if carried else []
+    sized = docs.select(*along, "doc_id", "source", size.alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("turn"))
     digits = max(1, min(6, math.ceil(math.log(max(docs.count() / BUCKET_ROWS, 1), 16))))
     # empty names and null stay apart as keys
     sized = sized.withColumn("bucket", F.substring("turn", 1, digits)).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    sums = sized.groupBy("key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
+    sums = sized.drop("doc").groupBy("key", "bucket").agg(F.first("source").alias("source"), F.sum("size").alias("words"))
     goals = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     goals = goals.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     run = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -103,7 +105,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES,
     taken = rounds * F.col("size") + F.least(F.col("size"), F.greatest(rest - F.col("at"), F.lit(0)))
     return placed.withColumn("taken", taken).withColumn(
         "position", F.when(F.col("taken") > 0, _due(F.col("at"), schedules))
-    ).select("doc_id", "source", "size", "source_size", "target", "taken", "position", "at", "quota", "source_rank")
+    ).select(*["doc"] * carried, "doc_id", "source", "size", "source_size", "target", "taken", "position", "at", "quota", "source_rank")
 
 
 def _due(at: Column, schedules: tuple) -> Column:
@@ -121,3 +123,23 @@ def training_order(mixed: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
     words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
     placed = copies.withColumn("words", words).withColumn("position", _due(start, schedules))
     return placed.drop("at", "quota", "source_rank").repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, most: int = MOST) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row per copy, range-sorted by ``position``, with ``copy`` and ``words``.
+
+    Documents that the mix does not take are gone. A copy that is taken in part has its first ``words`` words only.
+    A new column whose name is taken gets underscores.
+    """
+    space = "\\x20\\x09-\\x0D"
+    ordered = training_order(mix(docs, weights, schedules, most, carried=True), schedules)
+    head = F.expr(f"regexp_extract(doc.text, concat('^[{space}]*+(?:[^{space}]++[{space}]++){{', words - 1, '}}+[^{space}]++'), 0)")
+    text = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("doc.text"))
+    own = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in docs.columns]
+    new = []
+    for name in ("position", "copy", "words"):
+        alias = name
+        while alias in docs.columns:
+            alias += "_"
+        new.append(F.col(name).alias(alias))
+    return ordered.select(*own, *new)

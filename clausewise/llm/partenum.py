@@ -152,15 +152,18 @@ def _fresh(found: np.ndarray, seen: set) -> np.ndarray:
 
 
 def set_table(docs: DataFrame, n: int) -> DataFrame:
-    """``doc_id, size, h1, h2`` of every document's set."""
+    """``doc_id, text_key, size, h1, h2`` of every row's set."""
 
     def run(batches):
         for batch in slices(batches):
             sets = text_shingles(batch.column("text"), n)
             keys = set_keys(sets).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["doc_id", "size", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])],
+                ["doc_id", "text_key", "size", "h1", "h2"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, h1 long, h2 long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, size long, h1 long, h2 long")
 
 
 def signature_rows(docs: DataFrame, n: int, percent: int, table=None) -> DataFrame:
@@ -303,6 +306,12 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     Documents are linked when 100 x intersection >= ``percent`` x union of their n-gram sets; ``component_id`` is the
     smallest doc_id that links reach.
     """
+    rows = labelled_rows(docs, n, percent)
+    return rows.select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """A row per row: ``doc_id, text_key, size, component, name``; ``component`` numbers the groups, ``name`` is its smallest doc_id."""
     context = docs.sparkSession.sparkContext
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = ["size", "h1", "h2"]
@@ -343,15 +352,27 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
     joined = components(links)
     labels = classes.join(joined, classes["cid"] == joined["node"], "left").select(*own, "doc", F.coalesce("component", "cid").alias("component"))
     names = labels.groupBy("component").agg(F.min("doc").alias("name"))
-    known = labels.join(names, "component").select(*own, "name")
-    return keyed.join(known, own, "left").select("doc_id", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("name")).otherwise(F.col("doc_id")).alias("component_id"))
+    known = labels.join(names, "component").select(*own, "component", "name")
+    return keyed.join(known, own, "left").select("doc_id", "text_key", "size", "component", "name")
 
 
 def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The documents that name their component, all columns: one of each group of linked documents.
+    """One document of each group of linked documents, all columns: the one of smallest doc_id, null last.
 
-    Of rows that repeat such a doc_id, those with the text that is smallest by its hash stay, one of them.
+    Rows without words are in no group and all stay. Of rows that repeat the chosen doc_id and text one stays.
     """
-    kept = materialise(join(docs, n, percent).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct())
-    left = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    return left
+    rows = materialise(labelled_rows(docs, n, percent))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
+    chosen = rows.filter("size > 0").groupBy("component").agg(first).select("first.doc_id", "first.text_key", F.lit(True).alias("grouped"))
+    chosen = materialise(chosen.union(rows.filter("size = 0").select("doc_id", "text_key", F.lit(False)).distinct()).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "grouped"))
+    key = F.xxhash64(F.col("text").cast("string"))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (key == F.col("_key"))
+    # rows that are there twice and belong to a group
+    again = rows.filter("size > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
+    again = materialise(again)
+    if again.isEmpty():
+        return docs.join(chosen, match, "left_semi")
+    twice = F.broadcast(again) if again.count() < 10_000 else again
+    kept = docs.join(chosen, match, "left_semi")
+    single, repeated = kept.join(twice, match, "left_anti"), kept.join(twice, match, "left_semi")
+    return single.unionByName(repeated.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key"))
