@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.textkit import coded, hashes, lists, mixed, sequences, slices, words
+from clausewise.llm.textkit import coded, free, hashes, lists, mixed, sequences, slices, words
 from clausewise.session import materialise
 
 MASKS = ("110110110110", "101101101101", "011011011011")
@@ -158,5 +158,6 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no benchmark item, all columns; a row goes if any row of its doc_id holds one."""
-    bad = materialise(contaminated(docs, items).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad")), "left_anti")
+    name = free(docs.columns, "_bad")
+    bad = materialise(contaminated(docs, items).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")

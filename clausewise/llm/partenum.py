@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from clausewise.llm.decontaminate import bit_table, maybe
 from clausewise.llm.graph import components
-from clausewise.llm.textkit import lists, mixed, slices, text_shingles
+from clausewise.llm.textkit import free, lists, mixed, slices, text_shingles
 from clausewise.session import materialise
 
 BAND_RATIO = 1.5
@@ -363,16 +363,15 @@ def one_of_each(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """
     rows = materialise(labelled_rows(docs, n, percent))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("first")
-    chosen = rows.filter("size > 0").groupBy("component").agg(first).select("first.doc_id", "first.text_key", F.lit(True).alias("grouped"))
-    chosen = materialise(chosen.union(rows.filter("size = 0").select("doc_id", "text_key", F.lit(False)).distinct()).select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "grouped"))
-    key = F.xxhash64(F.col("text").cast("string"))
-    match = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (key == F.col("_key"))
-    # rows that are there twice and belong to a group
-    again = rows.filter("size > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    again = materialise(again)
-    if again.isEmpty():
-        return docs.join(chosen, match, "left_semi")
-    twice = F.broadcast(again) if again.count() < 10_000 else again
+    doc, key = free(docs.columns, "_doc"), free(docs.columns, "_key")
+    chosen = rows.filter("size > 0").groupBy("component").agg(first).select("first.doc_id", "first.text_key")
+    chosen = materialise(chosen.union(rows.filter("size = 0").select("doc_id", "text_key").distinct()).toDF(doc, key))
+    text_key = F.xxhash64(docs["text"].cast("string"))
+    match = docs["doc_id"].cast("long").eqNullSafe(F.col(doc)) & (text_key == F.col(key))
     kept = docs.join(chosen, match, "left_semi")
-    single, repeated = kept.join(twice, match, "left_anti"), kept.join(twice, match, "left_semi")
-    return single.unionByName(repeated.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    # rows of groups that are there twice
+    again = materialise(rows.filter("size > 0").groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_key").toDF(doc, key))
+    if again.isEmpty():
+        return kept
+    repeated = kept.join(again, match, "left_semi").withColumn(key, text_key).dropDuplicates(["doc_id", key]).drop(key)
+    return kept.join(again, match, "left_anti").unionByName(repeated)

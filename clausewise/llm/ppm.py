@@ -245,7 +245,7 @@ def _passes(docs: DataFrame, trie, blocks: int, block: int, common=None) -> Data
                 [
                     pa.array(row), batch.column("doc_id"), pa.array(score), pa.array(np.diff(at).astype(np.int64)),
                     pa.array(np.bincount(doc[often], minlength=len(texts)).astype(np.int64)),
-                    pa.array(np.bincount(doc[often], np.log10(n + 1.0)[codes[often]], minlength=len(texts))),
+                    pa.array(np.bincount(doc[often], np.log10(n + 1.0)[codes[often]], minlength=len(texts)).astype(float)),
                     pa.nulls(len(texts), pa.binary()),
                 ],
                 NAMES,

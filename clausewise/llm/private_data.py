@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.functions import spans as sp
+from clausewise.llm.textkit import free
 from clausewise.session import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -171,15 +172,17 @@ def redact(docs: DataFrame) -> DataFrame:
     key = F.sha2(F.col("text").cast("binary"), 256)
     notes = materialise(annotate(docs.select(key.alias("key"), "text")).drop("text"))
     more = materialise(discovered(notes, "key"))
+    named, spans = free(docs.columns, "_key"), free(docs.columns, "_spans")
+    none = F.array().cast(f"array<{SPAN}>")
     touched = materialise(
         notes.filter(F.size("base") > 0).select("key", "base").dropDuplicates(["key"]).join(more, "key", "full")
-        .select(F.col("key").alias("_key"), F.concat(F.coalesce("base", F.array().cast(f"array<{SPAN}>")), F.coalesce("more", F.array().cast(f"array<{SPAN}>"))).alias("_spans"))
+        .select(F.col("key").alias(named), F.concat(F.coalesce("base", none), F.coalesce("more", none)).alias(spans))
     )
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    marked = F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("entity"), F.lit(1.0).alias("score")))
+    marked = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["kind"] + 1).alias("entity"), F.lit(1.0).alias("score")))
     kept = F.array_sort(sp.drop_overlaps(marked, "struct<start:int,end:int,entity:string,score:double>"))
     plain = sp.splice(F.col("text"), kept, "entity")
-    out = docs.withColumn("_key", key).join(touched, "_key", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(plain))
+    out = docs.withColumn(named, key).join(touched, named, "left").withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(plain))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -25,6 +25,13 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def free(columns: list[str], name: str) -> str:
+    """A column name that is not taken yet."""
+    while name in columns:
+        name += "_"
+    return name
+
+
 def slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice holds at most ``limit`` bytes of text or a single row."""
     for batch in batches:
