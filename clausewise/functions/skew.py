@@ -32,15 +32,6 @@ def join_parent(
     return left.drop("_parts").join(copies, [key, "_salt"], how).drop("_salt")
 
 
-SMALL_BYTES = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
-    """Deal the rows of a small input out to all cores before heavy work on each row.
-
-    A small table may sit in a single row group and so in a single task. Its estimated size is checked: larger
-    inputs already arrive in many splits and are left alone, so big texts are never shuffled for this.
-    """
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if estimate <= small_bytes else df
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly before heavy work on each row: adaptive execution picks the number of parts by their bytes."""
+    return df.hint("rebalance")

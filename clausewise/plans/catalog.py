@@ -673,9 +673,10 @@ def tiered_verify(s, d):
 
 @query
 def levenshtein(s, d):
-    p = sample_tables.table(s, d, "part").select((F.col("p_partkey") % 10).alias("k"), "p_partkey", "p_name")
-    u = sample_tables.table(s, d, "supplier").filter("s_suppkey < 10").select(F.col("s_suppkey").alias("k"), "s_name")
-    return p.join(F.broadcast(u), "k").select("p_partkey", F.levenshtein("p_name", "s_name").cast("bigint").alias("distance"))
+    sold = sample_tables.table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    p = sample_tables.table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    u = sample_tables.table(s, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name")
+    return sold.join(p, "l_partkey").join(u, "l_suppkey").select("l_partkey", "l_suppkey", F.levenshtein("p_name", "s_name").cast("bigint").alias("distance"))
 
 
 @query
@@ -765,14 +766,24 @@ def extract_rules(s, d):
 
 @query
 def model_requests(s, d):
-    """Classification and extraction requests: lengths and digests of the content, size of the tool list."""
+    """Classification and extraction requests of whole texts, piece by piece: digests, lengths, size of the tool list."""
     docs = sample_tables.documents(s, d)
     kinds = docs.select("audit_id", F.element_at(F.array(*map(F.lit, ref.CONTRACT_TYPES)), (F.col("audit_id") % 9 + 1).cast("int")).alias("contract_type"))
-    a = extract.classify_requests(docs).select("audit_id", F.md5(F.col("content").cast("binary")).alias("classify_digest"))
-    b = extract.extract_requests(docs, kinds).select(
-        "audit_id", F.length("content").cast("bigint").alias("extract_chars"), F.size(F.from_json("tools", "array<struct<name:string>>")).cast("bigint").alias("n_tools")
+    a = extract.classify_requests(docs).withColumns({"kind": F.lit("classify"), "n_tools": F.lit(0).cast("bigint")})
+    tools = F.size(F.from_json("tools", "array<struct<name:string>>")).cast("bigint")
+    b = extract.extract_requests(docs, kinds).withColumns({"kind": F.lit("extract"), "n_tools": tools}).select(a.columns)
+    return a.union(b).select("audit_id", "kind", "piece_no", F.md5(F.col("content").cast("binary")).alias("digest"), F.length("content").cast("bigint").alias("n_chars"), "n_tools")
+
+
+@query
+def extract_every_hit(s, d):
+    """Two sentences of one label after the end of every whole text, however long: both are found."""
+    rate = lambda n, base: (F.col("audit_id") % n + base).cast("string")
+    docs = sample_tables.documents(s, d).select(
+        "audit_id", F.concat("text", F.lit("\n. The interest rate is "), rate(9, 1), F.lit(" percent. Interest Rate is "), rate(7, 10), F.lit(" percent.")).alias("text")
     )
-    return a.join(b, "audit_id")
+    got = extract.extract_by_rules(docs, docs.select("audit_id", F.lit("MORTGAGE").alias("contract_type")))
+    return got.select("audit_id", "pos", "label", "numeric_value", "verbatim")
 
 
 @query

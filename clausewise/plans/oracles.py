@@ -352,7 +352,7 @@ ORACLES["anchor_boxes"] = _with(PAGES) + """, ws AS (SELECT audit_id, page_no, l
 placed AS (SELECT *, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS off FROM ws WHERE w[i] <> ''),
 hit AS (SELECT audit_id, page_no, min(off / n) AS x0, max((off + length(w[i])) / n) AS x1 FROM placed WHERE off < 40 AND off + length(w[i]) > 10 GROUP BY 1, 2)
 SELECT audit_id, page_no, x0 IS NULL AS full_page, floor(coalesce(x0, 0) * 1000000 + 0.5) / 1000000 AS x0, floor(coalesce(x1, 1) * 1000000 + 0.5) / 1000000 AS x1 FROM page_rows LEFT JOIN hit USING (audit_id, page_no)"""
-ORACLES["levenshtein"] = "SELECT p_partkey, levenshtein(p_name, s_name) AS distance FROM part JOIN supplier ON p_partkey % 10 = s_suppkey"
+ORACLES["levenshtein"] = "SELECT DISTINCT l_partkey, l_suppkey, levenshtein(p_name, s_name) AS distance FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
 
 # --- model replies and rules ------------------------------------------------------------------------------
 
@@ -366,7 +366,7 @@ SELECT conv_id AS audit_id, pos, CASE turn % 3 WHEN 0 THEN 'interest_rate' ELSE
   FROM c WHERE turn % 3 <> 2 AND turn % 4 <> 3 AND n % 11 <> 0"""
 ORACLES["weak_clause_warnings"] = CL + "SELECT audit_id, 'EXTRACT_LOW_CONFIDENCE' AS code, count(*) AS n FROM clauses WHERE confidence < 0.5 GROUP BY 1"
 ORACLES["no_clause_warnings"] = "SELECT o_orderkey AS audit_id, 'EXTRACT_NO_CLAUSES' AS code, 'EXTRACTING' AS stage FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"
-COUNTS = {t: len(v.split()) for t, v in ref.TEMPLATE_TEXT.items()}
+COUNTS = {t: len(v) for t, v in ref.TEMPLATES.items()}
 ORACLES["classify_rules"] = f"""SELECT o_orderkey AS audit_id, CASE WHEN o_orderkey % 2 = 0 THEN 'MORTGAGE' ELSE 'AUTO_LOAN' END AS contract_type,
   floor((CASE WHEN o_orderkey % 2 = 0 THEN 5.0 / {COUNTS['MORTGAGE']} ELSE 5.0 / {COUNTS['AUTO_LOAN']} END) * 10000 + 0.5) / 10000 AS confidence FROM orders"""
 ORACLES["extract_rules"] = """WITH o AS (SELECT o_orderkey AS k, floor(o_totalprice)::BIGINT AS p FROM orders)
@@ -374,8 +374,12 @@ SELECT k AS audit_id, 0::BIGINT AS pos, 'principal_amount' AS label, 'CAD' AS un
 UNION ALL SELECT k, 1, 'interest_rate', 'percent', (k % 9 * 100 + k % 100) / 100.0, (k % 9) || '.' || lpad((k % 100)::VARCHAR, 2, '0') FROM o
 UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN 3 ELSE 2 END, 'term_length', 'months', (k % 30 * 12)::DOUBLE, (k % 30 * 12)::VARCHAR FROM o
 UNION ALL SELECT k, 4, 'down_payment', 'CAD', 500.0, '500' FROM o WHERE k % 2 = 1"""
-ORACLES["model_requests"] = f"""SELECT doc_id AS audit_id, md5('---BEGIN DOCUMENT---' || chr(10) || substr(text, 1, 8000) || chr(10) || '---END DOCUMENT---') AS classify_digest,
-  length('---BEGIN DOCUMENT---') + length('---END DOCUMENT---') + 2 + least(length(text), 16000) AS extract_chars, ([{', '.join(str(COUNTS[t]) for t in ref.CONTRACT_TYPES)}])[(doc_id % 9 + 1)::INT]::BIGINT AS n_tools FROM documents"""
+ORACLES["model_requests"] = f"""WITH p AS (SELECT doc_id, 'classify' AS kind, text, unnest(range(greatest(1, ceil(length(text) / 7500.0))::BIGINT)) AS piece_no, 7500 AS step, 500 AS again FROM documents
+  UNION ALL SELECT doc_id, 'extract', text, unnest(range(greatest(1, ceil(length(text) / 15500.0))::BIGINT)), 15500, 500 FROM documents),
+c AS (SELECT *, '---BEGIN DOCUMENT---' || chr(10) || CASE WHEN piece_no = 0 THEN substr(text, 1, step) ELSE substr(text, piece_no * step + 1 - again, step + again) END || chr(10) || '---END DOCUMENT---' AS content FROM p)
+SELECT doc_id AS audit_id, kind, piece_no, md5(content) AS digest, length(content) AS n_chars, CASE WHEN kind = 'extract' THEN ([{', '.join(str(COUNTS[t]) for t in ref.CONTRACT_TYPES)}])[(doc_id % 9 + 1)::INT]::BIGINT ELSE 0 END AS n_tools FROM c"""
+ORACLES["extract_every_hit"] = """SELECT doc_id AS audit_id, 1::BIGINT AS pos, 'interest_rate' AS label, (doc_id % 9 + 1)::DOUBLE AS numeric_value, 'interest rate is ' || (doc_id % 9 + 1) || ' percent' AS verbatim FROM documents
+UNION ALL SELECT doc_id, 1001, 'interest_rate', (doc_id % 7 + 10)::DOUBLE, 'Interest Rate is ' || (doc_id % 7 + 10) || ' percent' FROM documents"""
 TEMPLATE_ROWS = ", ".join(f"('{t}', '{label}', '{cat}', {'NULL' if unit is None else chr(39) + unit + chr(39)})" for t, _, label, cat, unit, _ in ref.template_rows())
 ORACLES["wanted_templates"] = _with(AUDITS) + f"""SELECT label, category, expected_unit, count(*) AS n FROM audits a JOIN (VALUES {TEMPLATE_ROWS}) t(ct, label, category, expected_unit)
   ON ct = CASE WHEN a.audit_id % 10 = 9 THEN 'UNKNOWN' ELSE contract_type END GROUP BY ALL"""

@@ -35,9 +35,14 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see, from ``spark.checkpoint.dir``; a scratch folder only where that is unset (tests)."""
+    """The folder all executors see, from ``spark.checkpoint.dir``; a scratch folder only where that is unset (tests).
+
+    On a cluster every executor would write to its own scratch folder, so there the setting is required.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
