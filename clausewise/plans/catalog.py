@@ -343,7 +343,7 @@ def append_if_absent(s, d):
 
 @query
 def stored_results(s, d):
-    """Saved twice, read back: only completed audits have clauses and issues, and the second load adds nothing."""
+    """Saved three times, read back: half of the audits complete with the second load, and the third adds nothing."""
     from clausewise.session import shared_folder
     import uuid
 
@@ -352,9 +352,13 @@ def stored_results(s, d):
     base = f"{shared_folder(s)}/results-{uuid.uuid4().hex}"
     warnings = validate.validation_warnings(validate.validate(c))
     tables = {"audits": _audits(s, d), "clauses": c, "issues": found, "links": gate.bridge(found), "warnings": warnings}
+    early = tables["audits"].withColumn("status", F.when(F.col("audit_id") % 2 == 0, F.lit("EXTRACTING")).otherwise(F.col("status")))
+    results.save_results({**tables, "audits": early}, base)
     results.save_results(tables, base)
     results.save_results(tables, base)
-    counts = [s.read.parquet(f"{base}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name in tables]
+    current = results.current_audits(s.read.parquet(f"{base}/audits"))
+    counts = [s.read.parquet(f"{base}/{name}").agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name in tables if name != "audits"]
+    counts.append(current.groupBy(F.concat(F.lit("audits "), "status").alias("table_name")).agg(F.count("*").alias("n")))
     out = counts[0]
     for more in counts[1:]:
         out = out.unionByName(more)
@@ -566,8 +570,8 @@ def pii_map_sealed(s, d):
     if not s.conf.get(results.KEY_CONF, None):
         s.conf.set(results.KEY_CONF, "ab" * 32)
     r = _redacted(s, d).filter(F.size("entities") > 0).select("audit_id", pii.placeholder_map(F.col("entities")).alias("m"))
-    sealed = r.select("audit_id", results.encrypt_map(s, F.col("m")).alias("bytes"))
-    opened = sealed.select("audit_id", results.decrypt_map(s, F.col("bytes")).alias("m"))
+    sealed = results.seal_maps(r, "m", "bytes").select("audit_id", "bytes")
+    opened = results.open_maps(sealed, "bytes", "m")
     return opened.select("audit_id", F.explode("m").alias("placeholder", "value"))
 
 

@@ -240,7 +240,7 @@ ORACLES["audit_nested"] = RANKED + """SELECT audit_id, greatest(ceil((coalesce(c
   FROM audits LEFT JOIN (SELECT audit_id, count(*) AS c FROM clauses GROUP BY 1) USING (audit_id) LEFT JOIN (SELECT audit_id, count(*) AS i FROM graded GROUP BY 1) USING (audit_id)"""
 ORACLES["append_if_absent"] = CL + "SELECT audit_id, clause_id, label FROM clauses WHERE label NOT IN ('interest_rate', 'annual_fee')"
 ORACLES["stored_results"] = _with(*BASE, DELTAS, GRADED, FAILURES) + """, done AS (SELECT audit_id FROM audits WHERE status = 'COMPLETE')
-SELECT 'audits' AS table_name, count(*) AS n FROM audits UNION ALL SELECT 'clauses', count(*) FROM clauses WHERE audit_id IN (FROM done) UNION ALL SELECT 'issues', count(*) FROM graded WHERE audit_id IN (FROM done)
+SELECT 'audits ' || status AS table_name, count(*) AS n FROM audits GROUP BY status UNION ALL SELECT 'clauses', count(*) FROM clauses WHERE audit_id IN (FROM done) UNION ALL SELECT 'issues', count(*) FROM graded WHERE audit_id IN (FROM done)
 UNION ALL SELECT 'links', count(*) FROM graded WHERE audit_id IN (FROM done) UNION ALL SELECT 'warnings', sum(len(f))::BIGINT FROM fails"""
 ORACLES["rate_upsert"] = _with(HISTORY) + """SELECT source_name, category, value, unit, as_of, reference_url FROM (SELECT *, row_number() OVER (PARTITION BY source_name, category, as_of ORDER BY (load_seq % 3 <> 0) DESC, load_seq DESC) AS rn
   FROM history WHERE load_seq % 3 = 0 OR load_seq % 50 <> 1) WHERE rn = 1"""

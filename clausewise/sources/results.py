@@ -55,13 +55,53 @@ def only_complete(rows: DataFrame, audits: DataFrame) -> DataFrame:
     return rows.join(audits.filter(F.col("status") == "COMPLETE").select("audit_id"), "audit_id", "left_semi")
 
 
+BUCKETS = 16
+
+
+def _bucketed(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
+def _stored(spark: SparkSession, target: str, incoming: DataFrame) -> DataFrame | None:
+    """What is stored in the buckets (at most ``BUCKETS``) that the incoming rows touch; None if nothing is."""
+    fs, path = _filesystem(spark, target)
+    if not fs.exists(path):
+        return None
+    touched = [r[0] for r in incoming.select("bucket").distinct().collect()]
+    return spark.read.parquet(target).filter(F.col("bucket").isin(touched))
+
+
+def current_audits(stored: DataFrame) -> DataFrame:
+    """Of each stored audit the row of its newest load."""
+    fields = [c for c in stored.columns if c not in ("load", "bucket")]
+    newest = stored.groupBy("audit_id").agg(F.max_by(F.struct(*fields), "load").alias("row"))
+    return newest.select("row.*")
+
+
+def save_audits(audits: DataFrame, base: str) -> None:
+    """Add a load with the audits that are new or differ from their stored row, so the newest status holds."""
+    spark, target = audits.sparkSession, f"{base.rstrip('/')}/audits"
+    incoming = _bucketed(audits.dropDuplicates(["audit_id"]), "audit_id")
+    stored = _stored(spark, target, incoming)
+    load = 1
+    if stored is not None:
+        load = 1 + (spark.read.parquet(target).agg(F.max("load")).first()[0] or 0)
+        fields = [c for c in audits.columns]
+        same = current_audits(stored).select("audit_id", F.xxhash64(*fields).alias("_was"))
+        incoming = incoming.withColumn("_is", F.xxhash64(*fields)).join(same, "audit_id", "left").filter(~F.col("_is").eqNullSafe(F.col("_was"))).drop("_is", "_was")
+    incoming.withColumn("load", F.lit(load)).repartition("bucket").write.mode("append").partitionBy("load", "bucket").parquet(target)
+
+
 def save_results(results: dict[str, DataFrame], base: str) -> None:
-    """Store audits (all), and clauses, issues and their links of completed audits; repeating a load adds nothing.
+    """Store audits (newest status first), and clauses, issues and their links of completed audits.
 
-    ``results`` holds audits, clauses, issues, links, warnings. Parquet appends commit as a whole.
+    ``results`` holds audits, clauses, issues, links, warnings. Repeating a load adds nothing; a later load that
+    completes an audit changes its status and adds its clauses and issues. Tables are partitioned by a hash of their
+    key, and only touched partitions are read. Parquet appends commit as a whole; loads run one at a time.
     """
     spark = results["audits"].sparkSession
-    keys = {"audits": ["audit_id"], "clauses": ["clause_id"], "issues": ["issue_id"], "links": ["issue_id", "clause_id"], "warnings": ["audit_id", "code", "message"]}
+    save_audits(results["audits"], base)
+    keys = {"clauses": ["clause_id"], "issues": ["issue_id"], "links": ["issue_id", "clause_id"], "warnings": ["audit_id", "code", "message"]}
     for name, key in keys.items():
         rows = results.get(name)
         if rows is None:
@@ -71,16 +111,17 @@ def save_results(results: dict[str, DataFrame], base: str) -> None:
         if name == "links":
             rows = rows.join(only_complete(results["issues"], results["audits"]).select("issue_id"), "issue_id", "left_semi")
         target = f"{base.rstrip('/')}/{name}"
-        fs, path = _filesystem(spark, target)
-        stored = spark.read.parquet(target) if fs.exists(path) else None
-        append_if_absent(stored, rows, key).write.mode("append").parquet(target)
+        incoming = _bucketed(rows, key[0])
+        append_if_absent(_stored(spark, target, incoming), incoming, key).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(target)
 
 
 def read_audit(spark: SparkSession, base: str, audit_ids: list) -> dict[str, DataFrame]:
-    """The stored tables for a few audits; the id filter is pushed into every scan."""
+    """The stored tables for a few audits, audits as of their newest load; the id filter is pushed into every scan."""
     tables = {name: spark.read.parquet(f"{base.rstrip('/')}/{name}") for name in ("audits", "clauses", "issues", "links", "warnings")}
     chosen = {name: df.filter(F.col("audit_id").isin(audit_ids)) for name, df in tables.items() if "audit_id" in df.columns}
-    chosen["links"] = tables["links"].join(chosen["issues"].select("issue_id"), "issue_id", "left_semi")
+    chosen["audits"] = current_audits(chosen["audits"])
+    chosen = {name: df.drop("bucket") for name, df in chosen.items()}
+    chosen["links"] = tables["links"].drop("bucket").join(chosen["issues"].select("issue_id"), "issue_id", "left_semi")
     return chosen
 
 
@@ -127,35 +168,30 @@ def rehydrate(audits: DataFrame, pii: DataFrame) -> DataFrame:
 
 
 def _key(spark: SparkSession) -> Column:
-    """Key expression from the session setting: 64 hex digits. The key itself is read when the plan runs, by variable."""
+    """Key expression from the session setting: 64 hex digits.
+
+    The key is looked up from a one-row table while the plan runs, so no plan holds it.
+    """
     text = spark.conf.get(KEY_CONF, "")
     if len(text) != 64 or any(c not in "0123456789abcdefABCDEF" for c in text):
         raise ValueError(f"{KEY_CONF} must hold 64 hex characters (32 bytes)")
-    spark.sql("DECLARE OR REPLACE VARIABLE clausewise_pii_key STRING DEFAULT ''")
-    spark.sql("SET VAR clausewise_pii_key = :k", args={"k": text})
-    return F.unhex(F.expr("clausewise_pii_key"))
-
-
-def encrypt_map(spark: SparkSession, mapping: Column) -> Column:
-    """AES-256-GCM of the map as JSON, laid out nonce (12), tag (16), ciphertext."""
-    sealed = F.aes_encrypt(F.to_json(mapping).cast("binary"), _key(spark), F.lit("GCM"))
-
-    def arranged(b: Column) -> Column:
-        size = F.octet_length(b)
-        return F.concat(F.substring(b, 1, NONCE), b.substr(size - TAG + 1, F.lit(TAG)), b.substr(F.lit(NONCE + 1), size - NONCE - TAG))
-
-    # the nonce is drawn per evaluation, so the sealed bytes are bound once and then cut
-    return F.transform(F.array(sealed), arranged)[0]
-
-
-def decrypt_map(spark: SparkSession, stored: Column) -> Column:
-    """The map back; null where the bytes are too short, the tag or key is wrong, or the content is no JSON."""
-    key = _key(spark)
-
-    def opened(b: Column) -> Column:
-        size = F.octet_length(b)
-        native = F.concat(F.substring(b, 1, NONCE), b.substr(F.lit(NONCE + TAG + 1), size - NONCE - TAG), F.substring(b, NONCE + 1, TAG))
-        plain = F.try_aes_decrypt(native, key, F.lit("GCM")).cast("string")
-        return F.when(size > NONCE + TAG, F.from_json(plain, "map<string,string>"))
-
-    return F.transform(F.array(stored), opened)[0]
+    spark.createDataFrame([(text,)], "k string").createOrReplaceTempView("clausewise_pii_key")
+    return F.unhex(F.expr("(SELECT first(k) FROM clausewise_pii_key)"))
+
+
+def seal_maps(df: DataFrame, mapping: str, out: str) -> DataFrame:
+    """Adds ``out``: AES-256-GCM of the map column as JSON, laid out nonce (12), tag (16), ciphertext."""
+    native = F.aes_encrypt(F.to_json(F.col(mapping)).cast("binary"), _key(df.sparkSession), F.lit("GCM"))
+    size, b = F.octet_length("_native"), F.col("_native")
+    laid_out = F.concat(F.substring(b, 1, NONCE), b.substr(size - TAG + 1, F.lit(TAG)), b.substr(F.lit(NONCE + 1), size - NONCE - TAG))
+    # the nonce is drawn per evaluation, so the bytes are sealed once, before they are cut: as a row-dependent expression, which
+    # the optimiser never copies
+    return df.withColumn("_native", F.when(F.monotonically_increasing_id() >= 0, native)).withColumn(out, laid_out).drop("_native")
+
+
+def open_maps(df: DataFrame, stored: str, out: str) -> DataFrame:
+    """Adds ``out``: the map back; null where bytes are too short, tag or key are wrong, or the content is no JSON."""
+    b, size = F.col(stored), F.octet_length(stored)
+    native = F.concat(F.substring(b, 1, NONCE), b.substr(F.lit(NONCE + TAG + 1), size - NONCE - TAG), F.substring(b, NONCE + 1, TAG))
+    plain = F.try_aes_decrypt(F.when(size > NONCE + TAG, native), _key(df.sparkSession), F.lit("GCM")).cast("string")
+    return df.withColumn(out, F.from_json(plain, "map<string,string>"))

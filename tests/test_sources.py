@@ -71,16 +71,16 @@ def test_series_and_refresh(spark, tmp_path):
 def test_sealed_maps(spark):
     spark.conf.set(results.KEY_CONF, "0f" * 32)
     df = spark.createDataFrame([(1, {"[A_1]": "x@y.org", "[B]": "é"})], "id int, m map<string,string>")
-    sealed = df.select("m", results.encrypt_map(spark, F.col("m")).alias("b"))
+    sealed = results.seal_maps(df, "m", "b").select("m", "b")
     row = sealed.first()
     again = spark.createDataFrame([(row.b,), (row.b[:-1],), (row.b[:20],)], "b binary")
-    assert [r[0] for r in again.select(results.decrypt_map(spark, F.col("b"))).collect()] == [row.m, None, None]
+    assert [r[0] for r in results.open_maps(again, "b", "m").select("m").collect()] == [row.m, None, None]
     assert len(row.b) == 28 + len(json.dumps(row.m, separators=(",", ":"), ensure_ascii=False).encode())
     spark.conf.set(results.KEY_CONF, "1f" * 32)
-    assert again.limit(1).select(results.decrypt_map(spark, F.col("b"))).first()[0] is None
+    assert results.open_maps(again.limit(1), "b", "m").first().m is None
     spark.conf.set(results.KEY_CONF, "short")
     with pytest.raises(ValueError):
-        results.encrypt_map(spark, F.col("m"))
+        results.seal_maps(df, "m", "b")
     spark.conf.unset(results.KEY_CONF)
 
 
@@ -124,3 +124,33 @@ def test_feed_and_snapshot_agree(spark, tmp_path):
     stream = spark.readStream.schema("audit_id long").parquet(str(src))
     events.write_feed(stream, str(tmp_path / "snap"), str(tmp_path / "live"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "snap")).count() == spark.read.parquet(str(tmp_path / "live")).count() == 20
+
+
+def test_key_is_in_no_plan(spark):
+    spark.conf.set(results.KEY_CONF, "ab" * 32)
+    df = spark.createDataFrame([({"[A]": "x"},)], "m map<string,string>")
+    sealed = results.seal_maps(df, "m", "b").select("b")
+    opened = results.open_maps(sealed, "b", "m")
+    assert opened.first().m == {"[A]": "x"}
+    for frame in (sealed, opened):
+        frame.collect()
+        assert "abab" not in frame._jdf.queryExecution().toString().lower()
+    spark.conf.unset(results.KEY_CONF)
+
+
+def test_newest_status_holds(spark, tmp_path):
+    base = f"file://{tmp_path}/results"
+    audits = lambda *rows: spark.createDataFrame(rows, "audit_id long, status string")
+    clauses = spark.createDataFrame([(1, "c1"), (2, "c2")], "audit_id long, clause_id string")
+    issues = spark.createDataFrame([(1, "i1"), (2, "i2")], "audit_id long, issue_id string")
+    links = spark.createDataFrame([("i1", "c1"), ("i2", "c2")], "issue_id string, clause_id string")
+    warnings = spark.createDataFrame([(1, "X", "m")], "audit_id long, code string, message string")
+    rest = {"clauses": clauses, "issues": issues, "links": links, "warnings": warnings}
+    results.save_results({"audits": audits((1, "EXTRACTING"), (2, "COMPLETE")), **rest}, base)
+    assert {r.status for r in results.read_audit(spark, base, [1])["audits"].collect()} == {"EXTRACTING"}
+    results.save_results({"audits": audits((1, "COMPLETE")), **rest}, base)
+    got = results.read_audit(spark, base, [1, 2])
+    assert {(r.audit_id, r.status) for r in got["audits"].collect()} == {(1, "COMPLETE"), (2, "COMPLETE")}
+    assert got["clauses"].count() == got["issues"].count() == got["links"].count() == 2
+    results.save_results({"audits": audits((1, "COMPLETE")), **rest}, base)
+    assert spark.read.parquet(f"{base}/audits").count() == 3
