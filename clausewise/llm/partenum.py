@@ -343,10 +343,12 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     # groups whose members are not all connected yet, and the clusters that they form
     labelled = members.join(settled, members["cid"] == settled["node"], "left").select("seed", "cid", "size", F.coalesce("component", "cid").alias("component"))
-    split = labelled.groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two"), F.min("cid").alias("lead")).filter(F.col("one") != F.col("two"))
-    left = materialise(labelled.join(split.select("seed", "lead"), "seed").select("cid", "size", "component", "lead").distinct())
-    clusters = components(left.filter(F.col("cid") != F.col("lead")).select(F.col("cid").alias("a"), F.col("lead").alias("b")))
-    open_members = left.select("cid", "size", "component").distinct().join(clusters.select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "cid")
+    split = labelled.groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two")).filter(F.col("one") != F.col("two"))
+    left = materialise(labelled.join(split.select("seed", "one"), "seed").select("cid", "size", "component", "one").distinct())
+    clusters = components(left.select(F.col("component").alias("a"), F.col("one").alias("b")).distinct())
+    open_members = left.select("cid", "size", "component").distinct().join(
+        clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"
+    )
     links = materialise(starred.union(_blocks(open_members, sets, percent)))
 
     joined = components(links)

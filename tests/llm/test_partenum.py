@@ -87,3 +87,22 @@ def test_one_of_each(docs_of):
 def test_empty(docs_of):
     assert P.join(docs_of([]), 3, 90).count() == 0
     assert P.one_of_each(docs_of([(1, None)]), 3, 90).count() == 1
+
+
+def test_graph_components(llm_spark):
+    from clausewise.llm.graph import components
+
+    rng = random.Random(6)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(140)] + [(400 + i, 401 + i) for i in range(60)] + [(600, 500 + i) for i in range(50)] + [(7, 7)]
+    root = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = {r.node: r.component for r in components(llm_spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root if any(x in p and p[0] != p[1] for p in links)}
