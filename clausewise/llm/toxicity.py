@@ -32,8 +32,9 @@ BATCH = 256
 RATE = 0.3
 TOXIC_ROWS = 3000
 CLEAN_ROWS = 6000
-SAMPLE_BYTES = 32 << 20
-SLICE_WORDS = 40_000
+SAMPLE_BYTES = 24 << 20
+SLICE_WORDS = 20_000
+PART_WORDS = 300_000
 CUT = 0.7
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -96,6 +97,25 @@ def windows(by_word: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return best, first, wide
 
 
+def parts_of(offsets: np.ndarray):
+    """Ranges of texts that hold about ``PART_WORDS`` words each, or one text."""
+    low = 0
+    while low < len(offsets) - 1:
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PART_WORDS, side="right")) - 1)
+        yield low, high
+        low = high
+
+
+def best_windows(by_word: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``windows`` of many texts, some at a time."""
+    out = []
+    for low, high in parts_of(offsets):
+        base = offsets[low]
+        best, first, wide = windows(by_word[codes[base : offsets[high]]], offsets[low : high + 1] - base)
+        out.append((best, first + base, wide))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 class Model:
     """One number per bucket, a bias, and the slope and offset that turn a text's best window into a probability."""
 
@@ -119,6 +139,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
     if not len(flat) or not (toxic[sizes > 0] == 1).any() or not (toxic[sizes > 0] == 0).any():
         return None
     codes, distinct = coded(flat)
+    del flat
     buckets, of = subwords(distinct)
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -126,16 +147,19 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
     bias = np.zeros(2, np.float32)
     seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     # first guess of the telling window: log odds of a word's presence in toxic texts
-    pair = np.unique(np.repeat(np.arange(len(sizes)), sizes).astype(np.int64) * len(distinct) + codes)
-    row, word = pair // len(distinct), pair % len(distinct)
-    yes = np.bincount(word[toxic[row] == 1], minlength=len(distinct))
-    no = np.bincount(word[toxic[row] == 0], minlength=len(distinct))
+    yes, no = np.zeros(len(distinct)), np.zeros(len(distinct))
+    for low, high in parts_of(offsets):
+        row = np.repeat(np.arange(low, high), sizes[low:high])
+        pair = np.unique(row * np.int64(len(distinct)) + codes[offsets[low] : offsets[high]])
+        row, word = pair // len(distinct), pair % len(distinct)
+        yes += np.bincount(word[toxic[row] == 1], minlength=len(distinct))
+        no += np.bincount(word[toxic[row] == 0], minlength=len(distinct))
     by_word = np.log((yes + 0.5) / ((toxic == 1).sum() + 1)) - np.log((no + 0.5) / ((toxic == 0).sum() + 1))
     by_word = np.where(yes + no >= 3, by_word, 0.0)
     use = np.flatnonzero(sizes > 0)
     share = (toxic[use] == 1).mean()
     for epoch in range(EPOCHS):
-        _, first, wide = windows(by_word[codes], offsets)
+        _, first, wide = best_windows(by_word, codes, offsets)
         clean = use[toxic[use] == 0]
         other = offsets[:-1][clean] + (rng.random(len(clean)) * (sizes[clean] - wide[clean] + 1)).astype(np.int64)
         start = np.concatenate((first[use], other))
@@ -174,7 +198,7 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
             vectors[touched] -= (RATE * total / np.sqrt(seen_v[touched])[:, None]).astype(np.float32)
         table = vectors @ (softmax[:, 1] - softmax[:, 0])
         by_word = averages(table[buckets], of)
-    best, _, _ = windows(by_word[codes], offsets)
+    best, _, _ = best_windows(by_word, codes, offsets)
     slope, offset = calibrated(best[use], toxic[use])
     return Model(table.astype(np.float32), slope, offset)
 
