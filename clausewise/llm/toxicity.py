@@ -4,7 +4,8 @@ A word is the bag of its character n-grams, edges marked, hashed into a fixed ta
 neighbouring words is the average of its words' averages, and a two-class softmax on that average gives its
 probability. Table and softmax are trained jointly in numpy. Misspelt words share most n-grams with the words they
 come from, so they land near them unseen. A text is as toxic as its worst window, so one insult in a very long text
-counts like one in a short text; only that window of a toxic text is trained on as toxic.
+counts like one in a short text; only that window of a toxic text is trained on as toxic. Words of which nothing was seen in
+training count as clean.
 
 Labels are learnt from a bounded sample: at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled documents in hash order of
 their id and at most ``SAMPLE_BYTES`` of text. Scoring covers all documents and whole texts, without a shuffle; the
@@ -188,7 +189,9 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
             g = mean.T @ gain
             seen_s += g**2
             softmax -= RATE * g / np.sqrt(seen_s)
-            g = gain.sum(0)
+            # a window of nothing but unseen n-grams is its bias alone, and is trained on as clean
+            blank = np.exp(bias - bias.max())
+            g = gain.sum(0) + (blank / blank.sum() - np.array([1, 0])).astype(np.float32)
             seen_b += g**2
             bias -= RATE * g / np.sqrt(seen_b)
             step = to_mean[text] * weight[:, None]
@@ -199,7 +202,8 @@ def train(texts: pa.Array, toxic: np.ndarray, seed: int = 7) -> Model | None:
         table = vectors @ (softmax[:, 1] - softmax[:, 0])
         by_word = averages(table[buckets], of)
     best, _, _ = best_windows(by_word, codes, offsets)
-    slope, offset = calibrated(best[use], toxic[use])
+    blanks = max(1, int((toxic[use] == 1).sum()))
+    slope, offset = calibrated(np.concatenate((best[use], np.zeros(blanks))), np.concatenate((toxic[use], np.zeros(blanks, toxic.dtype))))
     return Model(table.astype(np.float32), slope, offset)
 
 

@@ -26,7 +26,7 @@ def corpus(n=900, seed=3):
 def scored(llm_spark, docs_of):
     docs, labels = corpus()
     table = llm_spark.createDataFrame([(i, 1, t) for i, t in labels] + [(None, 1, 1), (0, 1, None), (5000, 0, 1)], "doc_id long, quality int, toxic int")
-    extra = [(7000, "he is a morron here"), (7001, None), (7002, ""), (7003, "fine words"), (None, "an idiot"), (7004, "x " * 60_000 + "idiot")]
+    extra = [(7000, "he is a morron here"), (7001, None), (7002, ""), (7003, "blue sugar"), (7005, "你好 世界"), (None, "an idiot"), (7004, "x " * 60_000 + "idiot")]
     docs_df = docs_of(docs + extra + [extra[0]], clash=True)
     return labels, T.score(docs_df, table).collect(), docs_df, table
 
@@ -43,10 +43,11 @@ def test_held_out_accuracy(scored):
 def test_defined_results(scored):
     _, rows, _, _ = scored
     by = {r.doc_id: r for r in rows}
-    assert len(rows) == 907 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert len(rows) == 908 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
     assert by[7001].score == by[7002].score == 0
     assert by[7004].predicted == 1
-    assert by[7000].score > 20 * by[7003].score  # a misspelling that was never seen
+    assert by[7000].score > 5 * by[7003].score  # a misspelling that was never seen
+    assert by[7003].predicted == by[7005].predicted == 0  # words that were never seen
 
 
 def test_filter_keeps_columns(scored):
