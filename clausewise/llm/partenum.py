@@ -10,7 +10,8 @@ their prefixes in a fixed order of elements; the pair of signature and such an e
 
 From signatures to components without listing the pairs of a group:
 
-* Equal sets are one class, found by a 128-bit hash and one aggregation; copies never meet in pairs.
+* Equal sets are one class, found by a 128-bit hash and one aggregation; copies never meet in pairs. A class is numbered
+  by the first half of its hash, or by a mix of both where two classes share that.
 * Signatures of one class only are dropped by an aggregation; a bit table of fixed size then keeps most of the rest from
   being shuffled again, and an exact join decides.
 * Every class is compared with one hub, the member of its groups that shares most signatures. That settles the bulk of a
@@ -26,6 +27,7 @@ doc_id never names a component unless all of a component's ids are null.
 
 from __future__ import annotations
 
+import gc
 from itertools import combinations
 
 import numpy as np
@@ -166,46 +168,76 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, size long, h1 long, h2 long")
 
 
-def signature_rows(docs: DataFrame, n: int, percent: int, table=None) -> DataFrame:
-    """``seed, h1, h2``: the signatures of the sets, each set once per task; only those that ``table`` may hold."""
+def class_ids(keys: np.ndarray, clash: np.ndarray) -> np.ndarray:
+    """The number of a set's class: its first hash, or for the ``clash`` hashes that two classes share a mix of both."""
+    return np.where(np.isin(keys[:, 0], clash), mixed(mixed(keys[:, 0]) + keys[:, 1]), keys[:, 0])
+
+
+def clash_ids(classes: DataFrame) -> DataFrame:
+    """``h1, h2, mixed``: the numbers of classes whose first hash clashes."""
+
+    def run(batches):
+        for batch in batches:
+            h = np.stack([batch.column(c).to_numpy().astype(np.uint64) for c in ("h1", "h2")], 1)
+            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), pa.array(mixed(mixed(h[:, 0]) + h[:, 1]).astype(np.int64))], ["h1", "h2", "mixed"])
+
+    return classes.select("h1", "h2").mapInArrow(run, "h1 long, h2 long, mixed long")
+
+
+def signature_rows(docs: DataFrame, n: int, percent: int, known=None) -> DataFrame:
+    """``seed, h1``: the signatures of the sets, each set once per task.
+
+    With ``known`` (a bit table of signatures and the clashing hashes) only signatures that the table may hold, as
+    ``seed, cid, size, weight``, where weight is their number in the set.
+    """
 
     def run(batches):
         seen: set = set()
         for batch in slices(batches):
             sets = text_shingles(batch.column("text"), n)
             keys = set_keys(sets)
-            new = np.flatnonzero(_fresh(keys, seen) & np.array([len(s) > 0 for s in sets], bool))
+            size = np.array([len(s) for s in sets], np.int64)
+            new = np.flatnonzero(_fresh(keys, seen) & (size > 0))
             row, sig = signatures([sets[i] for i in new], percent)
-            if table is not None:
-                hit = maybe(table.value, sig)
+            if known is None:
+                columns, names = [sig, keys[new, 0][row]], ["seed", "h1"]
+            else:
+                table, clash = known.value
+                hit = maybe(table, sig)
                 row, sig = row[hit], sig[hit]
-            h = keys[new][row].astype(np.int64)
+                weight = np.bincount(row, minlength=len(new))
+                columns, names = [sig, class_ids(keys[new], clash)[row], size[new][row], weight[row]], ["seed", "cid", "size", "weight"]
             for a in range(0, len(sig), 100_000):
-                part = slice(a, a + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(sig[part].astype(np.int64)), pa.array(h[part, 0]), pa.array(h[part, 1])], ["seed", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000].astype(np.int64)) for c in columns], names)
 
-    return docs.select("text").mapInArrow(run, "seed long, h1 long, h2 long")
+    return docs.select("text").mapInArrow(run, "seed long, h1 long" if known is None else "seed long, cid long, size long, weight long")
 
 
-def wanted_sets(docs: DataFrame, n: int, table) -> DataFrame:
-    """``size, h1, h2, elements`` of the sets whose h1 ``table`` may hold, each once per task."""
+def wanted_sets(docs: DataFrame, n: int, known) -> DataFrame:
+    """``cid, elements`` of the sets whose class ``known`` (a bit table and the clashing hashes) may hold, once per task."""
 
     def run(batches):
         seen: set = set()
+        table, clash = known.value
         for batch in slices(batches):
             sets = text_shingles(batch.column("text"), n)
             keys = set_keys(sets)
-            new = np.flatnonzero(maybe(table.value, keys[:, 0]) & np.array([len(s) > 0 for s in sets], bool))
+            cid = class_ids(keys, clash)
+            new = np.flatnonzero(maybe(table, cid) & np.array([len(s) > 0 for s in sets], bool))
             new = new[_fresh(keys[new], seen)]
             for a in range(0, len(new), 100):
                 part = new[a : a + 100]
-                h = keys[part].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([len(sets[i]) for i in part], pa.int64()), pa.array(h[:, 0]), pa.array(h[:, 1]), lists([sets[i] for i in part], pa.int64())],
-                    ["size", "h1", "h2", "elements"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(cid[part].astype(np.int64)), lists([sets[i] for i in part], pa.int64())], ["cid", "elements"])
+
+    return docs.select("text").mapInArrow(run, "cid long, elements array<long>")
 
-    return docs.select("text").mapInArrow(run, "size long, h1 long, h2 long, elements array<long>")
+
+def written(df: DataFrame) -> DataFrame:
+    """Materialise, and let Spark drop the shuffle files behind it: it does so when the driver collects its garbage."""
+    out = materialise(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -315,44 +347,45 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = ["size", "h1", "h2"]
-    keyed = materialise(set_table(given, n))
-    classes = keyed.filter("size > 0").groupBy(*own).agg(F.min("doc_id").alias("doc"))
-    classes = materialise(classes.withColumn("cid", F.monotonically_increasing_id()))
+    keyed = written(set_table(given, n))
+    classes = written(keyed.filter("size > 0").groupBy(*own).agg(F.min("doc_id").alias("doc")))
+    # two sets with one 64-bit hash: about rows^2 / 2^65 of them
+    clash = classes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1").toArrow()["h1"].to_numpy().astype(np.uint64)
     met = signature_rows(given, n, percent).groupBy("seed").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
-    shared = materialise(met.filter(F.col("low") != F.col("high")).select("seed"))
-    table = context.broadcast(bit_table(shared))
-    members = (
-        signature_rows(given, n, percent, table).join(shared, "seed").join(classes.select("cid", *own), ["h1", "h2"])
-        .select("seed", "cid", "size").distinct()
-    )
-    members = materialise(members)
-    held = materialise(classes.join(members.select("cid").distinct(), "cid", "left_semi"))
-    sought = context.broadcast(bit_table(held.select(F.col("h1").alias("seed"))))
-    sets = materialise(wanted_sets(given, n, sought).dropDuplicates(own).join(held.select("cid", *own), own).select("cid", "elements"))
+    shared = written(met.filter(F.col("low") != F.col("high")).select("seed"))
+    known = context.broadcast((bit_table(shared), clash))
+    members = written(signature_rows(given, n, percent, known).join(shared, "seed", "left_semi"))
+    sized = written(members.select("cid", "size").distinct())
+    sought = context.broadcast((bit_table(sized.select(F.col("cid").alias("seed"))), clash))
+    sets = written(wanted_sets(given, n, sought).join(sized.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
 
     # one hub per class: of the members of its groups the one that shares most signatures
-    weighed = members.join(members.groupBy("cid").agg(F.count("*").alias("weight")), "cid").select("seed", "cid", "weight")
-    hubs = weighed.groupBy("seed").agg(F.max(F.struct("weight", (-F.col("cid")).alias("other"))).alias("hub"))
-    star = (
-        members.join(hubs, "seed").filter(F.col("cid") != -F.col("hub.other"))
-        .groupBy(F.col("cid").alias("a")).agg(F.max("hub").alias("hub")).select("a", (-F.col("hub.other")).alias("b"))
-    )
+    hubs = members.groupBy("seed").agg(F.max(F.struct("weight", "cid")).alias("hub"))
+    star = members.join(hubs, "seed").filter(F.col("cid") != F.col("hub.cid")).groupBy(F.col("cid").alias("a")).agg(F.max("hub").alias("hub"))
+    star = written(star.select("a", F.col("hub.cid").alias("b")))
     near = star.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("y")), "b")
-    starred = materialise(verified(near, percent))
+    starred = written(verified(near, percent))
     settled = components(starred)
 
-    # groups whose members are not all connected yet, and the clusters that they form
-    labelled = members.join(settled, members["cid"] == settled["node"], "left").select("seed", "cid", "size", F.coalesce("component", "cid").alias("component"))
-    split = labelled.groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two")).filter(F.col("one") != F.col("two"))
-    left = materialise(labelled.join(split.select("seed", "one"), "seed").select("cid", "size", "component", "one").distinct())
-    clusters = components(left.select(F.col("component").alias("a"), F.col("one").alias("b")).distinct())
-    open_members = left.select("cid", "size", "component").distinct().join(
+    # groups whose members are not all connected yet, and the clusters that their components form
+    labelled = members.select("seed", "cid").join(settled, members["cid"] == settled["node"], "left").select("seed", F.coalesce("component", "cid").alias("component"))
+    present = written(labelled.distinct())
+    split = present.groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two")).filter(F.col("one") != F.col("two"))
+    clusters = components(present.join(split.select("seed", "one"), "seed").select(F.col("component").alias("a"), F.col("one").alias("b")).distinct())
+    open_members = sized.join(settled, sized["cid"] == settled["node"], "left").select("cid", "size", F.coalesce("component", "cid").alias("component")).join(
         clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"
     )
-    links = materialise(starred.union(_blocks(open_members, sets, percent)))
+    links = written(starred.union(_blocks(open_members, sets, percent)))
 
     joined = components(links)
-    labels = classes.join(joined, classes["cid"] == joined["node"], "left").select(*own, "doc", F.coalesce("component", "cid").alias("component"))
+    own_id = F.col("h1")
+    if len(clash):
+        clashing = docs.sparkSession.createDataFrame([(int(x),) for x in clash.astype(np.int64)], "h1 long")
+        mixed_ids = clash_ids(classes.join(clashing, "h1", "left_semi"))
+        classes = classes.join(mixed_ids, ["h1", "h2"], "left")
+        own_id = F.coalesce("mixed", "h1")
+    numbered = classes.withColumn("cid", own_id)
+    labels = numbered.join(joined, numbered["cid"] == joined["node"], "left").select(*own, "doc", F.coalesce("component", "cid").alias("component"))
     names = labels.groupBy("component").agg(F.min("doc").alias("name"))
     known = labels.join(names, "component").select(*own, "component", "name")
     return keyed.join(known, own, "left").select("doc_id", "text_key", "size", "component", "name")
