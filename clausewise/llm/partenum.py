@@ -44,6 +44,7 @@ BAND_RATIO = 1.5
 BLOCK_ELEMENTS = 1_000_000
 BLOCK_ROWS = 1024
 SLAB = 2048
+BUCKET_SIGNATURES = 500_000
 PIECE = (1 << 21) - 1
 
 
@@ -184,33 +185,97 @@ def clash_ids(classes: DataFrame) -> DataFrame:
     return classes.select("h1", "h2").mapInArrow(run, "h1 long, h2 long, mixed long")
 
 
-def signature_rows(docs: DataFrame, n: int, percent: int, known=None) -> DataFrame:
-    """``seed, h1``: the signatures of the sets, each set once per task.
+def packed_signatures(docs: DataFrame, n: int, percent: int, buckets: int) -> DataFrame:
+    """``bucket, seeds, marks``: all signatures, packed by leading bits, with six bytes of the set's hash as its mark.
 
-    With ``known`` (a bit table of signatures and the clashing hashes) only signatures that the table may hold, as
-    ``seed, cid, size, weight``, where weight is their number in the set.
+    A slice of documents is aggregated before anything is shuffled: a signature comes once with the smallest and, if
+    it differs, the largest mark, so a signature of very many documents stays a few rows of each task.
     """
 
     def run(batches):
         seen: set = set()
+        for batch in slices(batches):
+            sets = text_shingles(batch.column("text"), n)
+            keys = set_keys(sets)
+            new = np.flatnonzero(_fresh(keys, seen) & np.array([len(s) > 0 for s in sets], bool))
+            row, sig = signatures([sets[i] for i in new], percent)
+            if not len(sig):
+                continue
+            mark = keys[new, 0][row] & MARK
+            order = np.lexsort((mark, sig))
+            sig, mark = sig[order], mark[order]
+            first = np.concatenate(([True], sig[1:] != sig[:-1]))
+            last = np.concatenate((first[1:], [True]))
+            heads, tails = np.flatnonzero(first), np.flatnonzero(last)
+            two = tails[mark[tails] != mark[heads]]
+            keep = np.sort(np.concatenate((heads, two)))
+            sig, mark = sig[keep], mark[keep]
+            bucket = bucket_of(sig, buckets)
+            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+            pairs = list(zip(edges[:-1], edges[1:], strict=True))
+            for at in range(0, len(pairs), 200):
+                part = pairs[at : at + 200]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([int(bucket[i]) for i, _ in part], pa.int64()),
+                        pa.array([sig[i:j].tobytes() for i, j in part], pa.binary()),
+                        pa.array([mark[i:j].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in part], pa.binary()),
+                    ],
+                    ["bucket", "seeds", "marks"],
+                )
+
+    return docs.select("text").mapInArrow(run, "bucket long, seeds binary, marks binary")
+
+
+MARK = np.uint64((1 << 48) - 1)
+
+
+def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """Ranges of signatures of equal width."""
+    return ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def shared_signatures(packed: DataFrame) -> DataFrame:
+    """``seed``: the signatures that sets of different marks have."""
+
+    def work(group: pa.Table) -> pa.Table:
+        sig = np.frombuffer(b"".join(group["seeds"].to_pylist()), np.uint64)
+        six = np.frombuffer(b"".join(group["marks"].to_pylist()), np.uint8).reshape(-1, 6)
+        mark = np.zeros((len(sig), 8), np.uint8)
+        mark[:, :6] = six
+        mark = mark.view(np.uint64)[:, 0]
+        order = np.argsort(sig, kind="stable")
+        sig, mark = sig[order], mark[order]
+        heads = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        split = np.minimum.reduceat(mark, heads) != np.maximum.reduceat(mark, heads)
+        return pa.table([pa.array(sig[heads[split]].astype(np.int64))], names=["seed"])
+
+    return packed.groupBy("bucket").applyInArrow(work, "seed long")
+
+
+def signature_rows(docs: DataFrame, n: int, percent: int, known) -> DataFrame:
+    """``seed, cid, size, weight``: those signatures that ``known`` (a bit table and the clashing hashes) may hold.
+
+    Each set comes once per task; weight is the number of its signatures that are given.
+    """
+
+    def run(batches):
+        seen: set = set()
+        table, clash = known.value
         for batch in slices(batches):
             sets = text_shingles(batch.column("text"), n)
             keys = set_keys(sets)
             size = np.array([len(s) for s in sets], np.int64)
             new = np.flatnonzero(_fresh(keys, seen) & (size > 0))
             row, sig = signatures([sets[i] for i in new], percent)
-            if known is None:
-                columns, names = [sig, keys[new, 0][row]], ["seed", "h1"]
-            else:
-                table, clash = known.value
-                hit = maybe(table, sig)
-                row, sig = row[hit], sig[hit]
-                weight = np.bincount(row, minlength=len(new))
-                columns, names = [sig, class_ids(keys[new], clash)[row], size[new][row], weight[row]], ["seed", "cid", "size", "weight"]
+            hit = maybe(table, sig)
+            row, sig = row[hit], sig[hit]
+            weight = np.bincount(row, minlength=len(new))
+            columns = [sig, class_ids(keys[new], clash)[row], size[new][row], weight[row]]
             for a in range(0, len(sig), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000].astype(np.int64)) for c in columns], names)
+                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000].astype(np.int64)) for c in columns], ["seed", "cid", "size", "weight"])
 
-    return docs.select("text").mapInArrow(run, "seed long, h1 long" if known is None else "seed long, cid long, size long, weight long")
+    return docs.select("text").mapInArrow(run, "seed long, cid long, size long, weight long")
 
 
 def wanted_sets(docs: DataFrame, n: int, known) -> DataFrame:
@@ -351,8 +416,10 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     classes = written(keyed.filter("size > 0").groupBy(*own).agg(F.min("doc_id").alias("doc")))
     # two sets with one 64-bit hash: about rows^2 / 2^65 of them
     clash = classes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1").toArrow()["h1"].to_numpy().astype(np.uint64)
-    met = signature_rows(given, n, percent).groupBy("seed").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
-    shared = written(met.filter(F.col("low") != F.col("high")).select("seed"))
+    # about BUCKET_SIGNATURES signatures each, after the number of elements
+    total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    buckets = max(16, total * (100 - percent) * 4 // (100 + percent) // BUCKET_SIGNATURES)
+    shared = written(shared_signatures(packed_signatures(given, n, percent, buckets)))
     known = context.broadcast((bit_table(shared), clash))
     members = written(signature_rows(given, n, percent, known).join(shared, "seed", "left_semi"))
     sized = written(members.select("cid", "size").distinct())
