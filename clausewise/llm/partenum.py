@@ -44,7 +44,8 @@ BAND_RATIO = 1.5
 BLOCK_ELEMENTS = 1_000_000
 BLOCK_ROWS = 1024
 SLAB = 2048
-BUCKET_SIGNATURES = 500_000
+BUCKET_SIGNATURES = 250_000
+SLICE_BYTES = 2 << 20  # signatures take many times the memory of their text
 PIECE = (1 << 21) - 1
 
 
@@ -158,7 +159,7 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
     """``doc_id, text_key, size, h1, h2`` of every row's set."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             sets = text_shingles(batch.column("text"), n)
             keys = set_keys(sets).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -194,7 +195,7 @@ def packed_signatures(docs: DataFrame, n: int, percent: int, buckets: int) -> Da
 
     def run(batches):
         seen: set = set()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             sets = text_shingles(batch.column("text"), n)
             keys = set_keys(sets)
             new = np.flatnonzero(_fresh(keys, seen) & np.array([len(s) > 0 for s in sets], bool))
@@ -262,7 +263,7 @@ def signature_rows(docs: DataFrame, n: int, percent: int, known) -> DataFrame:
     def run(batches):
         seen: set = set()
         table, clash = known.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             sets = text_shingles(batch.column("text"), n)
             keys = set_keys(sets)
             size = np.array([len(s) for s in sets], np.int64)
@@ -284,7 +285,7 @@ def wanted_sets(docs: DataFrame, n: int, known) -> DataFrame:
     def run(batches):
         seen: set = set()
         table, clash = known.value
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SLICE_BYTES):
             sets = text_shingles(batch.column("text"), n)
             keys = set_keys(sets)
             cid = class_ids(keys, clash)
