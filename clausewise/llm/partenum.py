@@ -6,7 +6,9 @@ band's k: the domain of elements is hashed into n1 x n2 parts, of which some gro
 differences, so one way of leaving out that many of its parts leaves equal elements. A signature is the hash of the
 elements in the parts that are kept, one for each group and subset; sufficiently similar sets share one for certain.
 A signature of no elements would tell nothing. A set that has one shares, with any partner that has it too, an element of
-their prefixes in a fixed order of elements; the pair of signature and such an element takes its place.
+their prefixes in a fixed order of elements; the pair of signature and such an element takes its place. Sets of more than
+``FEW_PARTS`` parts need no such stand-in: k differences leave about a third of their k + 1 parts alone, and that none of
+those holds an element is less likely than a collision of the 64-bit hashes.
 
 From signatures to components without listing the pairs of a group:
 
@@ -41,6 +43,7 @@ from clausewise.llm.textkit import free, lists, mixed, slices, text_shingles
 from clausewise.session import materialise
 
 BAND_RATIO = 1.5
+FEW_PARTS = 64
 BLOCK_ELEMENTS = 1_000_000
 BLOCK_ROWS = 1024
 SLAB = 2048
@@ -130,7 +133,7 @@ def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.nda
     place = mixed(mixed(band[owner].astype(np.uint64) + np.uint64(1000)) + line.astype(np.uint64))
     full = mixed(mixed(mixed(key[:, 0] + place) + key[:, 1]) + key[:, 2])
     out_row, out_key = [row[owner][count > 0]], [full[count > 0]]
-    for i in np.flatnonzero(count == 0):
+    for i in np.flatnonzero((count == 0) & (parts[owner] <= FEW_PARTS)):
         s = sets[row[owner[i]]]
         prefix = len(s) - -(-percent * len(s) // 100) + 1
         order = mixed(s + np.uint64(23))
