@@ -4,7 +4,8 @@ Every labeller looks at one figure of a text and votes good, bad or not at all.
 Spark counts the patterns of all documents, of which there are at most 3 to the power of the number of labellers.
 Expectation-maximisation on the counts estimates how often each labeller votes how on good and on bad texts, and with
 that the probability that a pattern belongs to a good text. These posteriors, soft labels, train a linear scorer on
-hashed word shapes, on a bounded sample (``SAMPLE_ROWS`` documents in hash order of the id, ``SAMPLE_BYTES`` of text).
+hashed word shapes, on a bounded sample (``SAMPLE_ROWS`` documents in hash order of the id, one text of each,
+``SAMPLE_BYTES`` of text; texts above 1 / 64 of these bytes only where the smaller ones leave room).
 All documents are scored, whole texts, without a shuffle.
 
 Null and empty texts have no words: their only vote is bad and their score 0. Repeated rows are scored each; null ids
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm.textkit import coded, mixed, slices, words
-from clausewise.llm.toxicity import fetched
+from clausewise.llm.toxicity import drawn, fetched, one_text
 
 #: Labellers: figure, above or below which it votes bad, and on the far side of which it votes good.
 LABELLERS = (
@@ -218,8 +219,7 @@ def score(docs: DataFrame) -> DataFrame:
     counted = given.mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     known = counted["pattern"].to_numpy()
     posterior = dict(zip(known.tolist(), estimate(known, counted["n"].to_numpy()).tolist(), strict=True))
-    chosen = given.filter("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("turn")).distinct().orderBy("turn", "doc_id").limit(SAMPLE_ROWS)
-    sample = fetched(given, chosen, SAMPLE_ROWS, SAMPLE_BYTES)
+    sample = fetched(given, drawn(one_text(given, SAMPLE_BYTES), SAMPLE_ROWS, SAMPLE_BYTES))
     weights, bias = fit(sample["text"].combine_chunks() if sample.num_rows else pa.array([], pa.string()), posterior)
     shared = docs.sparkSession.sparkContext.broadcast((weights, bias, posterior))
 

@@ -8,7 +8,8 @@ counts like one in a short text; only that window of a toxic text is trained on
 training count as clean.
 
 Labels are learnt from a bounded sample: at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled documents in hash order of
-their id and at most ``SAMPLE_BYTES`` of text. Scoring covers all documents and whole texts, without a shuffle; the
+their id, one text of each, and at most ``SAMPLE_BYTES`` of text. A text above 1 / ``TEXT_SHARE`` of these bytes is learnt
+from only where the smaller ones leave room. Scoring covers all documents and whole texts, without a shuffle; the
 trained table, one number per bucket, has a fixed size. Null and empty texts score 0. A document that is labelled
 twice counts as toxic if any label says so; null labels are not learnt from. Without labels of both kinds all scores
 are 0. Repeated rows are scored each.
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm.textkit import coded, mixed, slices, words
@@ -34,6 +36,7 @@ RATE = 0.3
 TOXIC_ROWS = 3000
 CLEAN_ROWS = 6000
 SAMPLE_BYTES = 24 << 20
+TEXT_SHARE = 64
 SLICE_WORDS = 20_000
 PART_WORDS = 300_000
 CUT = 0.7
@@ -224,31 +227,46 @@ def calibrated(x: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame) -> tuple[pa.Array, np.ndarray]:
-    """The bounded sample: text and label of labelled documents outside the held-out part, in hash order of the id."""
+    """The bounded sample: text and label of labelled documents outside the held-out part, in hash order of the id.
+
+    Toxic texts take at most half of ``SAMPLE_BYTES``, clean ones what is left.
+    """
     known = (
         labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
         .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-        .withColumn("turn", F.xxhash64("doc_id"))
     )
-    chosen = None
-    for value, rows in ((1, TOXIC_ROWS), (0, CLEAN_ROWS)):
-        some = known.filter(F.col("toxic") == value).orderBy("turn", "doc_id").limit(rows)
-        chosen = some if chosen is None else chosen.union(some)
-    table = fetched(docs, chosen, TOXIC_ROWS + CLEAN_ROWS, SAMPLE_BYTES)
+    one = materialise(one_text(docs, SAMPLE_BYTES).join(known, "doc_id"))
+    toxic = drawn(one.filter("toxic = 1"), TOXIC_ROWS, SAMPLE_BYTES // 2)
+    clean = drawn(one.filter("toxic = 0"), CLEAN_ROWS, SAMPLE_BYTES - (pc.sum(toxic["size"]).as_py() or 0))
+    table = fetched(docs, pa.concat_tables([toxic, clean]))
     return table["text"].combine_chunks(), table["toxic"].to_numpy()
 
 
-def fetched(docs: DataFrame, chosen: DataFrame, rows: int, limit: int) -> pa.Table:
-    """Texts of the ``chosen(doc_id, turn, …)`` ids, of which there are at most ``rows``, in the order of ``turn``.
+def one_text(docs: DataFrame, limit: int) -> DataFrame:
+    """Of each doc_id with texts one, without the text: ``doc_id, turn, over, key, size``.
 
-    Ends before the text that would take the sum of bytes above ``limit``; of repeated ids at most twice ``rows`` count.
+    ``over`` is 0, or the size of a text that is above its share of ``limit``; of several texts one that is not above it
+    counts, of those the first by hash.
     """
-    found = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").filter("text is not null"))
-    run = Window.orderBy("turn", "doc_id", "size")
-    sizes = found.select("doc_id", "turn", F.octet_length("text").cast("bigint").alias("size")).limit(2 * rows)
-    edge = sizes.withColumn("sum", F.sum("size").over(run)).filter(F.col("sum") <= limit).agg(F.max(F.struct("turn", "doc_id")).alias("last"))
-    kept = found.join(F.broadcast(edge), F.struct("turn", "doc_id") <= F.col("last")).drop("last")
-    return kept.orderBy("turn", "doc_id", "text").toArrow()
+    size = F.octet_length("text").cast("bigint")
+    over = F.when(size > limit // TEXT_SHARE, size).otherwise(0)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    first = texts.groupBy("doc_id").agg(F.min(F.struct(over.alias("over"), F.xxhash64("text").alias("key"), size.alias("size"))).alias("first"))
+    return first.select("doc_id", F.xxhash64("doc_id").alias("turn"), "first.*")
+
+
+def drawn(one: DataFrame, rows: int, limit: int) -> pa.Table:
+    """At most ``rows`` rows of ``one_text`` and ``limit`` bytes: texts within their share in hash order, then larger ones by size."""
+    table = one.orderBy("over", "turn", "doc_id").limit(rows).toArrow()
+    return table.slice(0, int(np.searchsorted(np.cumsum(table["size"].to_numpy()), limit, side="right")))
+
+
+def fetched(docs: DataFrame, chosen: pa.Table) -> pa.Table:
+    """The texts of the ``drawn`` rows, each once, in the order of ``turn``."""
+    wanted = docs.sparkSession.createDataFrame(chosen)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumns({"key": F.xxhash64("text"), "size": F.octet_length("text").cast("bigint")})
+    found = texts.join(F.broadcast(wanted), ["doc_id", "key", "size"]).groupBy(chosen.column_names).agg(F.min("text").alias("text"))
+    return found.orderBy("turn", "doc_id").toArrow()
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:

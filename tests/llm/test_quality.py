@@ -47,3 +47,15 @@ def test_posteriors_follow_the_votes(docs_of):
 
 def test_empty(docs_of):
     assert Q.score(docs_of([])).count() == 0
+
+
+def test_oversized_text_first(docs_of, monkeypatch):
+    """A text above the byte budget at the first hash place is passed over, and the scorer still learns from the others."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(Q, "SAMPLE_BYTES", 1 << 20)
+    rows, good = corpus()
+    first = docs_of(rows).orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    rows = [(i, "fine words here " * 80_000 if i == first else x) for i, x in rows]
+    by = {r.doc_id: r for r in Q.score(docs_of(rows)).collect()}
+    assert sum(by[i].keep == g for i, g in good.items() if i != first) / len(good) > 0.97

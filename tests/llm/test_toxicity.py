@@ -62,3 +62,26 @@ def test_without_labels(llm_spark, docs_of):
     assert [r.score for r in T.score(docs_of([(1, "moron")]), none).collect()] == [0.0]
     assert T.score(docs_of([]), none).count() == 0
     assert T.without_toxic(docs_of([(1, "moron")]), none).count() == 1
+
+
+def test_oversized_text_first(llm_spark, docs_of, monkeypatch):
+    """A text above the byte budget at the first hash place, and repeated rows and ids, leave the rest of the sample alone."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(T, "SAMPLE_BYTES", 1 << 20)
+    docs, labels = corpus(300)
+    table = llm_spark.createDataFrame([(i, 1, t) for i, t in labels], "doc_id long, quality int, toxic int")
+    order = [r.doc_id for r in table.filter(~T.held_out(F.col("doc_id"), 3, 1)).orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    huge, second = order[0], order[1]
+    docs = [(i, "blue " * 300_000 if i == huge else x) for i, x in docs]
+    plain, learnt = T.labelled_sample(docs_of(docs), table)
+    assert [len(x) for x in plain.to_pylist()] == [len(dict(docs)[i]) for i in order[1:]] and set(learnt.tolist()) == {0, 1}
+    again = docs_of(docs + [d for d in docs if d[0] == second] * 700 + [(order[2], "another text"), (huge, "blue sky")])
+    texts, toxic = T.labelled_sample(again, table)
+    assert len(texts) == len(toxic) == len(order) and texts[0].as_py() == "blue sky"
+    assert texts.to_pylist()[3:] == plain.to_pylist()[2:]
+    assert T.labelled_sample(again.repartition(7), table)[0].equals(texts)
+    # the same scores as if the text were not there
+    scores = lambda rows: {r.doc_id: r.score for r in T.score(docs_of(rows), table).collect() if r.doc_id != huge}
+    found = scores(docs)
+    assert found == pytest.approx(scores([d for d in docs if d[0] != huge]), abs=1e-6) and max(found.values()) > 0.7
