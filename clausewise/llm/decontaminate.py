@@ -157,7 +157,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, all columns; a row goes if any row of its doc_id holds one."""
+    """The documents that hold no benchmark item, all columns; whatever its doc_id, only the text of a row counts."""
     name = free(docs.columns, "_bad")
-    bad = materialise(contaminated(docs, items).select(F.col("doc_id").alias(name)).distinct())
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col(name)), "left_anti")
+    # the hash of the text stands for the doc_id, which may be null or shared; a null text holds nothing and matches nothing
+    text_key = F.xxhash64(docs["text"].cast("string"))
+    bad = materialise(contaminated(docs.select(text_key.alias("doc_id"), "text"), items).select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(bad, docs["text"].isNotNull() & (text_key == F.col(name)), "left_anti")

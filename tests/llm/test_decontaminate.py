@@ -54,3 +54,12 @@ def test_empty(llm_spark, docs_of):
     assert D.contaminated(docs_of([(1, "a b c")]), items).count() == 0
     assert D.clean(docs_of([(1, "a b c")]), items).count() == 1
     assert D.contaminated(docs_of([]), items).count() == 0
+
+
+def test_clean_rows_of_shared_ids_stay(llm_spark, docs_of):
+    """Only the rows that hold a passage go, not all rows of their (null or repeated) doc_id."""
+    items, docs = made()
+    rows = [(None, docs[0]), (None, docs[30]), (None, docs[31]), (None, None), (7, docs[1]), (7, docs[1]), (7, docs[32]), (7, ""), (8, docs[33])]
+    kept = D.clean(docs_of(rows, clash=True), llm_spark.createDataFrame(items, "item_id long, text string"))
+    want = [rows[i] for i in (1, 2, 3, 6, 7, 8)]
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted((str(i), str(t)) for i, t in want)
