@@ -642,11 +642,26 @@ def anchor_boxes(s, d):
     return b.select("audit_id", _long("page_no"), "full_page", maths.half_up(F.col("box.x0"), 6).alias("x0"), maths.half_up(F.col("box.x1"), 6).alias("x1"))
 
 
+def _passages(s, d) -> DataFrame:
+    """A passage of up to 20 characters of every document that is not blank, from a line and a place drawn by hash: ``audit_id, t``."""
+    lines = F.filter(F.split("text", "\n", -1), lambda x: ~text.is_blank(x))
+    docs = sample_tables.documents(s, d).select("audit_id", lines.alias("lines"), F.xxhash64("audit_id").alias("h")).filter(F.size("lines") > 0)
+    line = F.trim(F.get("lines", F.pmod("h", F.size("lines")).cast("int")))
+    at = F.pmod(F.xxhash64("h"), F.greatest(F.length("line") - 19, F.lit(1))).cast("int") + 1
+    return docs.select("audit_id", "h", line.alias("line")).select("audit_id", F.substring("line", at, F.lit(20)).alias("t"))
+
+
+def _damaged(t: Column) -> Column:
+    """The text with one letter lost after its first third and one changed after its second."""
+    n = F.length(t)
+    one, two = F.floor(n / 3).cast("int"), F.floor(n * 2 / 3).cast("int")
+    cut = F.concat(F.substring(t, F.lit(1), one), F.substring(t, one + 2, two - one - 1), F.lit("x"), F.substring(t, two + 2, n))
+    return F.when(n < 6, t).otherwise(cut)
+
+
 def _fuzzy_quotes(s, d) -> DataFrame:
-    """One short damaged quote per document: 18 characters of its first line with one letter lost, one changed."""
-    t = F.element_at(F.split("text", "\n"), 1)
-    cut = F.concat(F.substring(t, 1, 6), F.substring(t, 8, 6), F.lit("x"), F.substring(t, 15, 5))
-    return sample_tables.documents(s, d).filter(F.length(t) >= 24).select("audit_id", cut.alias("quote"))
+    """One damaged passage per document."""
+    return _passages(s, d).select("audit_id", _damaged(F.col("t")).alias("quote"))
 
 
 @query
@@ -658,12 +673,11 @@ def fuzzy_anchor(s, d):
 @query
 def tiered_verify(s, d):
     """Three clauses per document: a true passage, a damaged one, and one that is nowhere but has an offered quote."""
-    t = F.element_at(F.split("text", "\n"), 1)
-    docs = sample_tables.documents(s, d).filter(F.length(t) >= 24).select("audit_id", t.alias("t"))
+    docs = _passages(s, d)
     made = docs.select(
         "audit_id",
-        F.posexplode(F.array(F.substring("t", 3, 20), F.concat(F.substring("t", 1, 6), F.substring("t", 8, 6), F.lit("x"), F.substring("t", 15, 5)), F.lit("0123456789#"))).alias("pos", "verbatim"),
-        F.substring("t", 5, 12).alias("offer"),
+        F.posexplode(F.array(F.col("t"), _damaged(F.col("t")), F.lit("0123456789#"))).alias("pos", "verbatim"),
+        F.substring("t", 3, 12).alias("offer"),
     )
     clauses = made.select(
         "audit_id", F.concat(F.col("audit_id").cast("string"), F.lit("_"), F.col("pos").cast("string")).alias("clause_id"), "verbatim", F.lit(None).cast("string").alias("raw_value"),

@@ -51,3 +51,19 @@ def test_owner_filter_reaches_the_scan(spark):
 
     audits = sample_tables.audits(spark, SF).selectExpr("*", "1 risk_score")
     assert "EqualTo(o_custkey,7)" in plan(report.owner_report(audits, 7))
+
+
+def test_every_document_is_quoted(spark):
+    """Approximate anchoring is asked for a passage of every document, short ones and places after the first line included."""
+    from clausewise.plans import catalog
+    from clausewise.sources import sample_tables
+
+    docs = {r.audit_id: r.text for r in sample_tables.documents(spark, SF).collect() if r.text and r.text.strip()}
+    passages = {r.audit_id: r.t for r in catalog._passages(spark, SF).collect()}
+    quotes = {r.audit_id: r.quote for r in catalog._fuzzy_quotes(spark, SF).collect()}
+    assert set(passages) == set(quotes) == set(docs)
+    assert all(any(t in line and len(t) == min(20, len(line.strip(" "))) for line in docs[i].split("\n")) for i, t in passages.items())
+    assert any(t not in docs[i].split("\n")[0] for i, t in passages.items())
+    assert all(len(quotes[i]) == len(t) - (len(t) >= 6) for i, t in passages.items())
+    exact = {r.audit_id for r in catalog.QUERIES["tiered_verify"](spark, SF).filter("clause_id like '%_0' and match_tier = 'exact'").collect()}
+    assert exact == set(docs)
