@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # shuffle files go when the query that made them ends, not when the driver happens to collect its garbage
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 
 

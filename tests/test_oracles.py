@@ -5,7 +5,9 @@ import pytest
 
 from check import TABLES, canonical
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from clausewise.plans.catalog import QUERIES
+from clausewise.plans.oracles import ORACLES
 
 SF = "/root/testdata/sf0.001"
 
@@ -19,20 +21,20 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_twin(spark, con, name):
-    df = queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     got = canonical(df.toPandas())
-    want = canonical(con.execute(oracle_sql()[name]).df())
+    want = canonical(con.execute(ORACLES[name]).df())
     assert list(got.columns) == list(want.columns)
     assert len(got) == len(want)
     assert (got == want).all().all()
 
 
 def test_every_query_has_a_twin_or_a_reason():
-    assert set(queries()) - set(oracle_sql()) == {"fuzzy_anchor", "tiered_verify"}
+    assert set(QUERIES) - set(ORACLES) == {"fuzzy_anchor", "tiered_verify"}
 
 
 def test_entry(spark):
