@@ -122,6 +122,13 @@ class Trie:
         self.cost = np.log10(self.counts[ORDER] / np.maximum(top, 1))
         self.slots = None
 
+    @classmethod
+    def of(cls, parts: dict) -> "Trie":
+        """From its attributes: those are sent to the tasks, since a broadcast does not carry a class's code along."""
+        out = cls.__new__(cls)
+        out.__dict__.update(parts)
+        return out
+
     def _index(self) -> None:
         """A hash table over the full-order grams; those that find no place near their slot are left to ``_slow``."""
         bits = max(4, int(2 * len(self.grams[ORDER])).bit_length())
@@ -219,15 +226,16 @@ def _passes(docs: DataFrame, trie, blocks: int, block: int, common=None) -> Data
     """A row per document with its part of the score; with ``common`` also the word sums and the rarer words' rows."""
 
     def run(batches):
+        known_trie = Trie.of(trie.value)
         for batch in slices(batches):
             texts = batch.column("text")
             keys, offsets = grams(texts)
             if blocks > 1:
                 cost = np.zeros(len(keys))
                 mine = block_of(keys, blocks) == block
-                cost[mine] = trie.value.costs(keys[mine])
+                cost[mine] = known_trie.costs(keys[mine])
             else:
-                cost = trie.value.costs(keys)
+                cost = known_trie.costs(keys)
             score = np.add.reduceat(cost, offsets[:-1])
             row = batch.column("row").to_numpy()
             if common is None:
@@ -288,7 +296,7 @@ def score(docs: DataFrame, parts: int = 7, which: int = 2, block_nodes: int = BL
         given = materialise(given)  # so that all passes see the same numbers
     for block in range(blocks):
         nodes = table.filter(_block_column(blocks) == block).toArrow()
-        trie = context.broadcast(Trie(*(x["key"].to_numpy().astype(np.uint64) if c == "key" else x["n"].to_numpy() for x in (nodes, low) for c in ("key", "n"))))
+        trie = context.broadcast(vars(Trie(*(x["key"].to_numpy().astype(np.uint64) if c == "key" else x["n"].to_numpy() for x in (nodes, low) for c in ("key", "n")))))
         if found is None:
             found = materialise(_passes(given, trie, blocks, block, common))
             main = found.filter("word is null")

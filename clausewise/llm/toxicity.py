@@ -121,7 +121,10 @@ def best_windows(by_word: np.ndarray, codes: np.ndarray, offsets: np.ndarray) ->
 
 
 class Model:
-    """One number per bucket, a bias, and the slope and offset that turn a text's best window into a probability."""
+    """One number per bucket, a bias, and the slope and offset that turn a text's best window into a probability.
+
+    Its attributes are sent to the tasks, not the object: a broadcast does not carry the class's code along.
+    """
 
     def __init__(self, table: np.ndarray, slope: float, offset: float):
         self.table, self.slope, self.offset = table, slope, offset
@@ -279,12 +282,12 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def apply(docs: DataFrame, model: Model | None, schema: str) -> DataFrame:
     """Every column of ``docs`` that ``schema`` names, and ``score`` of ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
         for batch in slices(batches):
-            found = shared.value.score(batch.column("text")) if shared.value is not None else np.zeros(batch.num_rows)
+            found = Model(**shared.value).score(batch.column("text")) if shared.value is not None else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(found) if n == "score" else batch.column(n) for n in names], names)
 
     return docs.mapInArrow(run, schema)
@@ -292,13 +295,14 @@ def apply(docs: DataFrame, model: Model | None, schema: str) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, all columns, without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(*labelled_sample(docs, labels)))
+    model = train(*labelled_sample(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def run(batches):
         for batch in slices(batches):
             if shared.value is None:
                 yield batch
             else:
-                yield batch.filter(pa.array(shared.value.score(batch.column("text")) < CUT))
+                yield batch.filter(pa.array(Model(**shared.value).score(batch.column("text")) < CUT))
 
     return docs.mapInArrow(run, docs.schema)
