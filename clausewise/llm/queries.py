@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewise.llm import curriculum, decontaminate, forest, licenses, partenum, ppm, private_data, quality, toxicity, warc
+from clausewise.llm import curriculum, debruijn, decontaminate, forest, hilbert, licenses, partenum, ppm, private_data, quality, spelling, toxicity, warc
 from clausewise.llm.sql import ORACLES
 from clausewise.llm.textkit import prepare
 from clausewise.session import materialise, shared_folder, tune
@@ -84,3 +84,18 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = curriculum.mix(_table(spark, sf_dir, "documents"))
     ordered = mixed.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
     return ordered.select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
+@query
+def op11_debruijn_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removed(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op12_hilbert_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.codes(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
