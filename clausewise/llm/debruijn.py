@@ -137,7 +137,7 @@ def edges(texts: DataFrame, window: int) -> DataFrame:
                 start, length = (groups.flatten().field(c).to_numpy().astype(np.int64) for c in ("start", "length"))
                 at, row = ranges(offsets[row] + start, length), np.repeat(row, length)
                 edge = Rolling(h).of(at, window)
-                padded = np.concatenate(([0], h, [0])).astype(np.uint64)
+                padded = np.pad(h, 1)
                 before = np.where(at > offsets[row], padded[at], np.uint64(0))
                 after = np.where(at + window < offsets[row + 1], padded[at + window + 1], np.uint64(0))
                 k1, k2 = (batch.column(c).to_numpy()[row] for c in ("k1", "k2"))
@@ -170,7 +170,9 @@ def paths(texts: DataFrame, window: int = WINDOW) -> DataFrame:
         (F.max(F.col("before") == 0) | (F.min("before") != F.max("before"))).alias("left"),
         (F.max(F.col("after") == 0) | (F.min("after") != F.max("after"))).alias("right"),
     )
-    repeated = placed.select("edge", "k1", "k2", "at").join(forks.filter("one <> two").select("edge", "left", "right"), "edge")
+    # written first: the join can then be split where one edge has very many places
+    forks = materialise(forks.filter("one <> two").select("edge", "left", "right"))
+    repeated = placed.select("edge", "k1", "k2", "at").join(forks, "edge")
     line = Window.partitionBy("k1", "k2").orderBy("at")
     last = F.lag("at").over(line)
     starts = last.isNull() | (F.col("at") > last + 1) | ((F.col("at") == last + 1) & (F.col("left") | F.lag("right").over(line)))
@@ -237,11 +239,11 @@ def removed(docs: DataFrame, window: int = WINDOW, whole_text: bool = False) ->
     found = materialise(paths(texts.filter("text is not null"), window))
     done = materialise(marked(with_spans(texts, found), window, whole_text))
     checks = done.select("k1", "k2", F.explode("checks").alias("c")).select("k1", "k2", "c.*")
-    alone = checks.groupBy("d1", "d2", "length").agg(F.min(place("start")).alias("one"), F.max(place("start")).alias("two")).filter("one = two")
-    false = materialise(checks.join(alone, ["d1", "d2", "length"], "left_semi").select("k1", "k2", "start").distinct())
+    alone = materialise(checks.groupBy("d1", "d2", "length").agg(F.min(place("start")).alias("one"), F.max(place("start")).alias("two")).filter("one = two"))
     columns = ["doc_id", "n_words", "n_removed", "kept", "kept_sha256"]
-    if false.isEmpty():
+    if alone.isEmpty():
         return done.select(columns)
+    false = materialise(checks.join(alone, ["d1", "d2", "length"], "left_semi").select("k1", "k2", "start").distinct())
     again = false.select("k1", "k2").distinct()
     mended = marked(with_spans(texts.join(again, ["k1", "k2"], "left_semi"), found.join(false, ["k1", "k2", "start"], "left_anti")), window, whole_text)
     return done.join(again, ["k1", "k2"], "left_anti").select(columns).unionByName(mended.select(columns))
