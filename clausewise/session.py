@@ -58,4 +58,13 @@ def materialise(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/clausewise-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_folder = path
+    return out
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete the folders of stage results that nothing reads any more."""
+    for df in stages:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stage_folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
