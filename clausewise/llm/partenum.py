@@ -18,7 +18,9 @@ From signatures to components without listing the pairs of a group:
   being shuffled again, and an exact join decides.
 * Every class is compared with one hub, the member of its groups that shares most signatures. That settles the bulk of a
   large group of near copies.
-* What is left are groups whose members lie in different components. Their members are compared in blocks of bounded
+* What is left are groups whose members lie in different components. A link between components is always inside such a
+  group, so groups of at most ``FEW_MEMBERS`` open members give their pairs, each pair once and only where components differ
+  and sizes can match. Larger groups meet a second hub first; what is then still large is compared in blocks of bounded
   size, skipping blocks whose sizes cannot match or whose members are connected already; a block counts all
   intersections at once and returns only links that connect something new.
 
@@ -29,21 +31,21 @@ doc_id never names a component unless all of a component's ids are null.
 
 from __future__ import annotations
 
-import gc
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewise.llm.decontaminate import bit_table, maybe
 from clausewise.llm.graph import components
 from clausewise.llm.textkit import free, lists, mixed, slices, text_shingles
-from clausewise.session import materialise
+from clausewise.session import discard, materialise
 
 BAND_RATIO = 1.5
 FEW_PARTS = 64
+FEW_MEMBERS = 32
 BLOCK_ELEMENTS = 1_000_000
 BLOCK_ROWS = 1024
 SLAB = 2048
@@ -301,14 +303,6 @@ def wanted_sets(docs: DataFrame, n: int, known) -> DataFrame:
     return docs.select("text").mapInArrow(run, "cid long, elements array<long>")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Materialise, and let Spark drop the shuffle files behind it: it does so when the driver collects its garbage."""
-    out = materialise(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def verified(pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs ``a, b, x, y`` whose sets ``x`` and ``y`` are similar, as ``a, b``."""
 
@@ -369,22 +363,63 @@ def block_links(sets: tuple, other: tuple | None, percent: int) -> list[tuple[in
     return out
 
 
+def open_groups(members: DataFrame, settled: DataFrame) -> DataFrame:
+    """``seed, cid, size, weight, component`` of the groups whose members are not all in one component."""
+    labelled = materialise(members.join(settled, members["cid"] == settled["node"], "left").select("seed", "cid", "size", "weight", F.coalesce("component", "cid").alias("component")))
+    split = materialise(labelled.groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two")).filter(F.col("one") != F.col("two")).select("seed"))
+    return materialise(labelled.join(split, "seed", "left_semi"))
+
+
+def could_match(x: str, y: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar."""
+    return (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
+
+
+def _group_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs that share one of these signatures, lie in different components and could match; each once."""
+    left = rows.select("seed", F.col("cid").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("one"))
+    right = rows.select("seed", F.col("cid").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("two"))
+    met = left.join(right, "seed").filter((F.col("a") < F.col("b")) & (F.col("one") != F.col("two")) & could_match("size_a", "size_b", percent))
+    return met.select("a", "b").distinct()
+
+
+def _hub_pairs(rows: DataFrame) -> DataFrame:
+    """``a, b``: every member with the strongest member of its group that lies in another component."""
+    strong = F.max(F.struct("weight", "cid", "component"))
+    first = materialise(rows.groupBy("seed").agg(strong.alias("first")))
+    beside = rows.join(first, "seed").filter(F.col("component") != F.col("first.component"))
+    second = materialise(beside.groupBy("seed").agg(strong.alias("second")))
+    both = materialise(first.join(second, "seed"))
+    hub = F.when(F.col("component") != F.col("first.component"), F.col("first.cid")).otherwise(F.col("second.cid"))
+    return rows.join(both, "seed").select(F.col("cid").alias("a"), hub.alias("b")).distinct()
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    left = sets.select(F.col("cid").alias("a"), F.col("elements").alias("x"))
+    right = sets.select(F.col("cid").alias("b"), F.col("elements").alias("y"))
+    return pairs.join(left, "a").join(right, "b")
+
+
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside clusters: ``members(cluster, cid, component, size)`` in chunks by size, chunk against chunk."""
-    run = Window.partitionBy("cluster").orderBy("size", "component", "cid").rowsBetween(Window.unboundedPreceding, -1)
+    """Links inside large groups, ``members(seed, cid, component, size)``: chunks of like sizes, chunk against chunk."""
+    # groups of the same members, as the many signatures of near copies make them, are one
+    whole = members.groupBy("seed").agg(F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("n"))
+    kept = materialise(whole.groupBy("sum", "low", "high", "n").agg(F.min("seed").alias("seed")).select("seed"))
+    banded = members.join(kept, "seed", "left_semi").withColumn("band", F.floor(F.log("size") * 10))
     weight = F.greatest(F.col("size"), F.lit(BLOCK_ELEMENTS // BLOCK_ROWS))
-    chunked = materialise(members.withColumn("chunk", F.floor(F.coalesce(F.sum(weight).over(run), F.lit(0)) / BLOCK_ELEMENTS)))
-    about = chunked.groupBy("cluster", "chunk").agg(
-        F.min("size").alias("least"), F.max("size").alias("most"), F.min("component").alias("one"), F.max("component").alias("two")
+    parts = materialise(banded.groupBy("seed", "band").agg(F.ceil(F.sum(weight) / BLOCK_ELEMENTS).alias("parts")))
+    slot = F.pmod(F.xxhash64("cid"), F.col("parts"))
+    chunked = materialise(banded.join(parts, ["seed", "band"]).select("seed", "cid", "component", "size", (F.col("band") * (1 << 40) + slot).alias("chunk")))
+    about = materialise(
+        chunked.groupBy("seed", "chunk").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("component").alias("one"), F.max("component").alias("two"))
     )
-    left = about.select("cluster", F.col("chunk").alias("i"), F.col("most").alias("most_i"), F.col("one").alias("one_i"), F.col("two").alias("two_i"))
-    right = about.select("cluster", F.col("chunk").alias("j"), F.col("least").alias("least_j"), F.col("one").alias("one_j"), F.col("two").alias("two_j"))
+    left = about.select("seed", F.col("chunk").alias("i"), F.col("least").alias("least_i"), F.col("most").alias("most_i"), F.col("one").alias("one_i"), F.col("two").alias("two_i"))
+    right = about.select("seed", F.col("chunk").alias("j"), F.col("least").alias("least_j"), F.col("most").alias("most_j"), F.col("one").alias("one_j"), F.col("two").alias("two_j"))
     settled = (F.col("one_i") == F.col("two_i")) & (F.col("one_j") == F.col("two_j")) & (F.col("one_i") == F.col("one_j"))
-    plan = left.join(right, "cluster").filter((F.col("i") <= F.col("j")) & (F.col("least_j") * percent <= F.col("most_i") * 100) & ~settled).select("cluster", "i", "j")
-    sides = materialise(
-        plan.select("cluster", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("chunk"))
-    )
-    rows = sides.join(chunked, ["cluster", "chunk"]).join(sets.select("cid", "elements"), "cid")
+    fits = (F.col("least_j") * percent <= F.col("most_i") * 100) & (F.col("least_i") * percent <= F.col("most_j") * 100)
+    plan = left.join(right, "seed").filter((F.col("i") <= F.col("j")) & fits & ~settled).select("seed", "i", "j")
+    sides = materialise(plan.select("seed", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("chunk")))
+    rows = sides.join(chunked, ["seed", "chunk"]).join(sets.select("cid", "elements"), "cid")
 
     def work(group: pa.Table) -> pa.Table:
         chunk = group["chunk"].to_numpy()
@@ -398,7 +433,28 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = block_links(sides[0], None if one_sided else sides[1], percent) if one_sided or len(sides) == 2 else []
         return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
 
-    return rows.select("cluster", "i", "j", "chunk", "cid", "component", "elements").groupBy("cluster", "i", "j").applyInArrow(work, "a long, b long")
+    return rows.select("seed", "i", "j", "chunk", "cid", "component", "elements").groupBy("seed", "i", "j").applyInArrow(work, "a long, b long")
+
+
+def remaining_links(members: DataFrame, starred: DataFrame, sets: DataFrame, percent: int, few: int) -> DataFrame:
+    """``a, b``: links between the components that the ``starred`` links leave, as many as it takes to connect them.
+
+    Linked sets share a signature, so a link between components lies inside a group that both of them touch. Groups of
+    at most ``few`` open members give their pairs. Larger ones are compared with a second hub first, and what that
+    leaves open with pairs, or in blocks where they are still large.
+    """
+    rows = open_groups(members, components(starred))
+    sizes = materialise(rows.groupBy("seed").agg(F.count("*").alias("n")))
+    large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
+    links = materialise(verified(_with_sets(_hub_pairs(large), sets), percent)) if not large.isEmpty() else starred.limit(0)
+    if not large.isEmpty():
+        rows = open_groups(members, components(starred.unionByName(links)))
+        sizes = materialise(rows.groupBy("seed").agg(F.count("*").alias("n")))
+        large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
+    small = rows.join(sizes.filter(F.col("n") <= few).select("seed"), "seed", "left_semi")
+    paired = materialise(_group_pairs(small, percent))
+    links = links.unionByName(materialise(verified(_with_sets(paired, sets), percent)))
+    return links if large.isEmpty() else links.unionByName(materialise(_blocks(large, sets, percent)))
 
 
 def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -416,38 +472,27 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     context = docs.sparkSession.sparkContext
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = ["size", "h1", "h2"]
-    keyed = written(set_table(given, n))
-    classes = written(keyed.filter("size > 0").groupBy(*own).agg(F.min("doc_id").alias("doc")))
+    keyed = materialise(set_table(given, n))
+    classes = materialise(keyed.filter("size > 0").groupBy(*own).agg(F.min("doc_id").alias("doc")))
     # two sets with one 64-bit hash: about rows^2 / 2^65 of them
     clash = classes.groupBy("h1").agg(F.count("*").alias("n")).filter("n > 1").select("h1").toArrow()["h1"].to_numpy().astype(np.uint64)
     # about BUCKET_SIGNATURES signatures each, after the number of elements
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     buckets = max(16, total * (100 - percent) * 4 // (100 + percent) // BUCKET_SIGNATURES)
-    shared = written(shared_signatures(packed_signatures(given, n, percent, buckets)))
+    shared = materialise(shared_signatures(packed_signatures(given, n, percent, buckets)))
     known = context.broadcast((bit_table(shared), clash))
-    members = written(signature_rows(given, n, percent, known).join(shared, "seed", "left_semi"))
-    sized = written(members.select("cid", "size").distinct())
+    members = materialise(signature_rows(given, n, percent, known).join(shared, "seed", "left_semi"))
+    sized = materialise(members.select("cid", "size").distinct())
     sought = context.broadcast((bit_table(sized.select(F.col("cid").alias("seed"))), clash))
-    sets = written(wanted_sets(given, n, sought).join(sized.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
+    sets = materialise(wanted_sets(given, n, sought).join(sized.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
 
     # one hub per class: of the members of its groups the one that shares most signatures
     hubs = members.groupBy("seed").agg(F.max(F.struct("weight", "cid")).alias("hub"))
     star = members.join(hubs, "seed").filter(F.col("cid") != F.col("hub.cid")).groupBy(F.col("cid").alias("a")).agg(F.max("hub").alias("hub"))
-    star = written(star.select("a", F.col("hub.cid").alias("b")))
-    near = star.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("y")), "b")
-    starred = written(verified(near, percent))
-    settled = components(starred)
-
-    # groups whose members are not all connected yet, and the clusters that their components form
-    labelled = members.select("seed", "cid").join(settled, members["cid"] == settled["node"], "left").select("seed", F.coalesce("component", "cid").alias("component"))
-    present = written(labelled.distinct())
-    split = present.groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two")).filter(F.col("one") != F.col("two"))
-    clusters = components(present.join(split.select("seed", "one"), "seed").select(F.col("component").alias("a"), F.col("one").alias("b")).distinct())
-    open_members = sized.join(settled, sized["cid"] == settled["node"], "left").select("cid", "size", F.coalesce("component", "cid").alias("component")).join(
-        clusters.select(F.col("node").alias("component"), F.col("component").alias("cluster")), "component"
-    )
-    links = written(starred.union(_blocks(open_members, sets, percent)))
-
+    star = materialise(star.select("a", F.col("hub.cid").alias("b")))
+    starred = materialise(verified(_with_sets(star, sets), percent))
+    links = materialise(starred.unionByName(remaining_links(members, starred, sets, percent, FEW_MEMBERS)))
+    discard(members, sets, shared, star)
     joined = components(links)
     own_id = F.col("h1")
     if len(clash):

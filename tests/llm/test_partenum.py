@@ -52,7 +52,10 @@ def test_components_match_brute_force(docs_of, n, percent):
     assert got == brute(rows, n, percent)[0]
 
 
-def test_small_blocks_give_the_same(docs_of, monkeypatch):
+@pytest.mark.parametrize("few", [1, 4])
+def test_small_blocks_give_the_same(docs_of, monkeypatch, few):
+    """Groups above ``few`` open members go through the second hub and the blocks."""
+    monkeypatch.setattr(P, "FEW_MEMBERS", few)
     monkeypatch.setattr(P, "BLOCK_ELEMENTS", 300)
     monkeypatch.setattr(P, "BLOCK_ROWS", 5)
     rows = near_copies(9)
