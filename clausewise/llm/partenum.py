@@ -20,7 +20,7 @@ From signatures to components without listing the pairs of a group:
   large group of near copies.
 * What is left are groups whose members lie in different components. A link between components is always inside such a
   group, so groups of at most ``FEW_MEMBERS`` open members give their pairs, each pair once and only where components differ
-  and sizes can match. Larger groups meet a second hub first; what is then still large is compared in blocks of bounded
+  and sizes can match; bit maps that can only err on the safe side sift them before whole sets are joined. Larger groups meet a second hub first; what is then still large is compared in blocks of bounded
   size, skipping blocks whose sizes cannot match or whose members are connected already; a block counts all
   intersections at once and returns only links that connect something new.
 
@@ -285,7 +285,7 @@ def signature_rows(docs: DataFrame, n: int, percent: int, known) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, n: int, known) -> DataFrame:
-    """``cid, elements`` of the sets whose class ``known`` (a bit table and the clashing hashes) may hold, once per task."""
+    """``cid, elements, bits`` of the sets whose class ``known`` (a bit table and the clashing hashes) may hold, once per task."""
 
     def run(batches):
         seen: set = set()
@@ -298,9 +298,42 @@ def wanted_sets(docs: DataFrame, n: int, known) -> DataFrame:
             new = new[_fresh(keys[new], seen)]
             for a in range(0, len(new), 100):
                 part = new[a : a + 100]
-                yield pa.RecordBatch.from_arrays([pa.array(cid[part].astype(np.int64)), lists([sets[i] for i in part], pa.int64())], ["cid", "elements"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cid[part].astype(np.int64)), lists([sets[i] for i in part], pa.int64()), pa.array([bit_map(sets[i]).tobytes() for i in part], pa.binary())],
+                    ["cid", "elements", "bits"],
+                )
+
+    return docs.select("text").mapInArrow(run, "cid long, elements array<long>, bits binary")
+
+
+def bit_map(s: np.ndarray) -> np.ndarray:
+    """At least four bits for every element, packed; the bit of each element is set."""
+    width = 1 << max(6, int(4 * len(s) - 1).bit_length())
+    out = np.zeros(width, bool)
+    out[(mixed(s + np.uint64(41)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def may_be_similar(a: np.ndarray, b: np.ndarray, n: int, m: int, percent: int) -> bool:
+    """Never False for similar sets of ``n`` and ``m`` elements: a bit that one map lacks is an element that the other set lacks."""
+    width = min(len(a), len(b))
+    a, b = np.bitwise_or.reduce(a.reshape(-1, width)), np.bitwise_or.reduce(b.reshape(-1, width))
+    both = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return 100 * both >= percent * (n + m - both)
+
+
+def sifted(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` that the bit maps, a sixteenth of the sets, do not rule out."""
+    one = sets.select(F.col("cid").alias("a"), F.col("bits").alias("x"), F.size("elements").alias("n"))
+    two = sets.select(F.col("cid").alias("b"), F.col("bits").alias("y"), F.size("elements").alias("m"))
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("x", "y", "n", "m")]
+            good = [may_be_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), n, m, percent) for x, y, n, m in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return docs.select("text").mapInArrow(run, "cid long, elements array<long>")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n", "m").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, percent: int) -> DataFrame:
@@ -446,13 +479,13 @@ def remaining_links(members: DataFrame, starred: DataFrame, sets: DataFrame, per
     rows = open_groups(members, components(starred))
     sizes = materialise(rows.groupBy("seed").agg(F.count("*").alias("n")))
     large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
-    links = materialise(verified(_with_sets(_hub_pairs(large), sets), percent)) if not large.isEmpty() else starred.limit(0)
+    links = materialise(verified(_with_sets(materialise(sifted(_hub_pairs(large), sets, percent)), sets), percent)) if not large.isEmpty() else starred.limit(0)
     if not large.isEmpty():
         rows = open_groups(members, components(starred.unionByName(links)))
         sizes = materialise(rows.groupBy("seed").agg(F.count("*").alias("n")))
         large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
     small = rows.join(sizes.filter(F.col("n") <= few).select("seed"), "seed", "left_semi")
-    paired = materialise(_group_pairs(small, percent))
+    paired = materialise(sifted(_group_pairs(small, percent), sets, percent))
     links = links.unionByName(materialise(verified(_with_sets(paired, sets), percent)))
     return links if large.isEmpty() else links.unionByName(materialise(_blocks(large, sets, percent)))
 

@@ -109,3 +109,33 @@ def test_graph_components(llm_spark):
         root[max(a, b)] = min(a, b)
     got = {r.node: r.component for r in components(llm_spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root if any(x in p and p[0] != p[1] for p in links)}
+
+
+def test_bit_maps_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    ruled = 0
+    for _ in range(600):
+        a = np.unique(rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64))
+        keep = a[rng.random(len(a)) < rng.choice([1, 0.95, 0.85, 0.6])]
+        b = np.unique(np.concatenate((keep, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 5)), dtype=np.uint64))))
+        if len(b):
+            may = P.may_be_similar(P.bit_map(a), P.bit_map(b), len(a), len(b), 80)
+            assert may or not P.similar(a, b, 80)
+            ruled += not may
+    assert ruled > 100
+
+
+def test_sets_of_more_parts_than_have_stand_ins_share_a_signature():
+    """Just above ``FEW_PARTS`` parts a set has no stand-ins for empty signatures; none of many similar pairs is lost."""
+    rng = np.random.default_rng(12)
+    first, last = P.bands(80)
+    k = P.differences(last, 80)
+    band = next(i for i in range(len(k)) if P.scheme(int(k[i]))[0] * P.scheme(int(k[i]))[1] > P.FEW_PARTS)
+    for size in (int(first[band]), int(last[band])):
+        for _ in range(500):
+            a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+            gone = int((100 - 80) * size // 180)
+            b = np.unique(np.concatenate((a[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64))))
+            if P.similar(a, b, 80):
+                row, sig = P.signatures([a, b], 80)
+                assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
