@@ -19,10 +19,11 @@ From signatures to components without listing the pairs of a group:
 * Every class is compared with one hub, the member of its groups that shares most signatures. That settles the bulk of a
   large group of near copies.
 * What is left are groups whose members lie in different components. A link between components is always inside such a
-  group, so groups of at most ``FEW_MEMBERS`` open members give their pairs, each pair once and only where components differ
-  and sizes can match; bit maps that can only err on the safe side sift them before whole sets are joined. Larger groups meet a second hub first; what is then still large is compared in blocks of bounded
-  size, skipping blocks whose sizes cannot match or whose members are connected already; a block counts all
-  intersections at once and returns only links that connect something new.
+  group. In ``HUB_ROUNDS`` every open member meets a hub of another component, so that mutual near copies grow together;
+  then groups of at most ``FEW_MEMBERS`` open members give their pairs, each pair once and only where components differ
+  and sizes can match; bit maps that can only err on the safe side sift them before whole sets are joined. Larger groups
+  are compared in blocks of bounded size, skipping blocks whose sizes cannot match or whose members are connected
+  already; a block counts all intersections at once and returns only links that connect something new.
 
 Every similarity is computed exactly on 64-bit hashes of n-grams. Null and empty texts have no set and stay alone; a
 text of fewer than n words is one sequence. Documents of equal doc_id count as one document with several texts; a null
@@ -46,6 +47,7 @@ from clausewise.session import discard, materialise
 BAND_RATIO = 1.5
 FEW_PARTS = 64
 FEW_MEMBERS = 32
+HUB_ROUNDS = 3
 BLOCK_ELEMENTS = 1_000_000
 BLOCK_ROWS = 1024
 SLAB = 2048
@@ -400,7 +402,9 @@ def open_groups(members: DataFrame, settled: DataFrame) -> DataFrame:
     """``seed, cid, size, weight, component`` of the groups whose members are not all in one component."""
     labelled = materialise(members.join(settled, members["cid"] == settled["node"], "left").select("seed", "cid", "size", "weight", F.coalesce("component", "cid").alias("component")))
     split = materialise(labelled.groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two")).filter(F.col("one") != F.col("two")).select("seed"))
-    return materialise(labelled.join(split, "seed", "left_semi"))
+    out = materialise(labelled.join(split, "seed", "left_semi"))
+    discard(labelled, split)
+    return out
 
 
 def could_match(x: str, y: str, percent: int) -> Column:
@@ -416,15 +420,21 @@ def _group_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def _hub_pairs(rows: DataFrame) -> DataFrame:
-    """``a, b``: every member with the strongest member of its group that lies in another component."""
-    strong = F.max(F.struct("weight", "cid", "component"))
-    first = materialise(rows.groupBy("seed").agg(strong.alias("first")))
+def _hub_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """``a, b``: every member with one hub: of its groups' leading members in another component the first.
+
+    Members that share most signatures lead in the first turn, others by hash in later ones.
+    """
+    rank = F.col("weight") if turn == 0 else F.xxhash64("cid", F.lit(turn))
+    lead = F.max(F.struct(rank.alias("rank"), "cid", "component"))
+    first = materialise(rows.groupBy("seed").agg(lead.alias("first")))
     beside = rows.join(first, "seed").filter(F.col("component") != F.col("first.component"))
-    second = materialise(beside.groupBy("seed").agg(strong.alias("second")))
+    second = materialise(beside.groupBy("seed").agg(lead.alias("second")))
     both = materialise(first.join(second, "seed"))
-    hub = F.when(F.col("component") != F.col("first.component"), F.col("first.cid")).otherwise(F.col("second.cid"))
-    return rows.join(both, "seed").select(F.col("cid").alias("a"), hub.alias("b")).distinct()
+    hub = F.when(F.col("component") != F.col("first.component"), F.col("first")).otherwise(F.col("second"))
+    out = materialise(rows.join(both, "seed").groupBy(F.col("cid").alias("a")).agg(F.max(hub).alias("hub")).select("a", F.col("hub.cid").alias("b")))
+    discard(first, second, both)
+    return out
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -469,25 +479,26 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("seed", "i", "j", "chunk", "cid", "component", "elements").groupBy("seed", "i", "j").applyInArrow(work, "a long, b long")
 
 
-def remaining_links(members: DataFrame, starred: DataFrame, sets: DataFrame, percent: int, few: int) -> DataFrame:
-    """``a, b``: links between the components that the ``starred`` links leave, as many as it takes to connect them.
+def all_links(members: DataFrame, starred: DataFrame, sets: DataFrame, percent: int, few: int) -> DataFrame:
+    """``a, b``: links that connect what all links connect, beginning with the ``starred`` ones.
 
-    Linked sets share a signature, so a link between components lies inside a group that both of them touch. Groups of
-    at most ``few`` open members give their pairs. Larger ones are compared with a second hub first, and what that
-    leaves open with pairs, or in blocks where they are still large.
+    Linked sets share a signature, so a link between components lies inside a group that both of them touch. In each of
+    ``HUB_ROUNDS`` every open member meets one hub of another component, which contracts groups of mutual near copies.
+    Then groups of at most ``few`` open members give their pairs, and larger ones are compared in blocks.
     """
-    rows = open_groups(members, components(starred))
+    links = starred
+    for turn in range(HUB_ROUNDS):
+        rows = open_groups(members, components(links))
+        met = materialise(sifted(_hub_pairs(rows, turn), sets, percent))
+        links = links.unionByName(materialise(verified(_with_sets(met, sets), percent)))
+        discard(rows, met)
+    rows = open_groups(members, components(links))
     sizes = materialise(rows.groupBy("seed").agg(F.count("*").alias("n")))
-    large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
-    links = materialise(verified(_with_sets(materialise(sifted(_hub_pairs(large), sets, percent)), sets), percent)) if not large.isEmpty() else starred.limit(0)
-    if not large.isEmpty():
-        rows = open_groups(members, components(starred.unionByName(links)))
-        sizes = materialise(rows.groupBy("seed").agg(F.count("*").alias("n")))
-        large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
     small = rows.join(sizes.filter(F.col("n") <= few).select("seed"), "seed", "left_semi")
+    large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
     paired = materialise(sifted(_group_pairs(small, percent), sets, percent))
     links = links.unionByName(materialise(verified(_with_sets(paired, sets), percent)))
-    return links if large.isEmpty() else links.unionByName(materialise(_blocks(large, sets, percent)))
+    return links.unionByName(materialise(_blocks(large, sets, percent)))
 
 
 def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -524,7 +535,7 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     star = members.join(hubs, "seed").filter(F.col("cid") != F.col("hub.cid")).groupBy(F.col("cid").alias("a")).agg(F.max("hub").alias("hub"))
     star = materialise(star.select("a", F.col("hub.cid").alias("b")))
     starred = materialise(verified(_with_sets(star, sets), percent))
-    links = materialise(starred.unionByName(remaining_links(members, starred, sets, percent, FEW_MEMBERS)))
+    links = materialise(all_links(members, starred, sets, percent, FEW_MEMBERS))
     discard(members, sets, shared, star)
     joined = components(links)
     own_id = F.col("h1")
