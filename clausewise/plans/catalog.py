@@ -622,10 +622,10 @@ def exact_anchor(s, d):
 
 
 def _page_quotes(s, d) -> DataFrame:
-    """Quotes of every third page of each document: a stretch of it with its (plain) letters raised and blanks doubled."""
+    """A quote of every page of each document: a stretch of it with its (plain) letters raised and blanks doubled."""
     low, high = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    p = _pages(s, d).filter((F.length("text") >= 60) & (F.col("page_no") % 3 == 1))
-    return p.select("audit_id", F.translate(F.replace(F.substring("text", 11, 40), F.lit(" "), F.lit("  ")), low, high).alias("quote"))
+    p = _pages(s, d)
+    return p.select("audit_id", F.translate(F.replace(F.when(F.length("text") > 50, F.substring("text", 11, 40)).otherwise(F.col("text")), F.lit(" "), F.lit("  ")), low, high).alias("quote"))
 
 
 @query
@@ -853,9 +853,9 @@ def event_feed(s, d):
 
 @query
 def event_replay(s, d):
-    """What late readers get: recent history of half of the audits, the last status for the others."""
+    """What late readers of all audits get first."""
     e = materialise(_events(s, d))
-    kept = ev.history(e.filter(F.col("audit_id") % 2 == 0), 20)
+    kept = ev.history(e, 20)
     r = ev.replay(kept, ev.latest_status(e))
     return r.select("audit_id", "seq", "type", "status", _long("progress"))
 
@@ -934,8 +934,12 @@ def _drained(s, stream: DataFrame, mode: str) -> DataFrame:
     return s.read.schema(stream.schema.add("batch", "integer")).parquet(f"{base}/out")
 
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 @query
 def stream_progress(s, d):
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = _drained(s, ev.stream_latest_progress(_stream_source(s, d)), "update")
     last = out.groupBy("audit_id").agg(F.max_by("progress", "batch").alias("progress"))
     return last.select("audit_id", _long("progress"))
@@ -943,12 +947,74 @@ def stream_progress(s, d):
 
 @query
 def stream_history(s, d):
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     out = _drained(s, ev.stream_history(_stream_source(s, d), 100), "update")
     newest = out.groupBy("audit_id").agg(F.max("batch").alias("batch"))
     return out.join(newest, ["audit_id", "batch"]).select("audit_id", "seq", "closed")
 
 
+def _stream_folder(s) -> str:
+    import uuid
+
+    from clausewise.session import shared_folder
+
+    return f"{shared_folder(s)}/stream-{uuid.uuid4().hex}"
+
+
+def _short_audits(s, d) -> DataFrame:
+    """The progress events, those of a user dealt over ten audits, so that some audits never end."""
+    return _events(s, d).withColumn("audit_id", F.col("audit_id") * 10 + F.col("seq") % 10)
+
+
+def _in_parts(events: DataFrame, n: int) -> list[DataFrame]:
+    """The events in ``n`` parts, earlier numbers first."""
+    e = materialise(events)
+    share = F.floor(F.col("seq") * n / (e.agg(F.max("seq")).first()[0] + 1))
+    return [e.filter(share == i) for i in range(n)]
+
+
+@query
+def stream_open_state(s, d):
+    """State that a stream over all events keeps in the end, a restart between two halves and late events of closed audits included."""
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    e = _short_audits(s, d)
+    base, parts = _stream_folder(s), _in_parts(e, 2)
+    ended = e.filter(ev.is_terminal(F.col("type"), F.col("status"))).select("audit_id").distinct()
+    late = e.join(ended, "audit_id", "left_semi").filter(~ev.is_terminal(F.col("type"), F.col("status"))).withColumn("seq", -F.col("seq"))
+    for part in [*parts, late]:
+        part.write.mode("append").parquet(f"{base}/in")
+        kept = ev.stream_history(s.readStream.schema(part.schema).parquet(f"{base}/in"), 100)
+        kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return ev.kept_state(s, f"{base}/checkpoint", "events").groupBy("audit_id").agg(F.count("*").alias("n_kept"))
+
+
+@query
+def event_live_tail(s, d):
+    """A late reader: snapshot of the feed after half of all events, then its tail, restarted once in between."""
+    base, parts = _stream_folder(s), _in_parts(_events(s, d), 4)
+    schema = parts[0].schema
+
+    def feed(part: DataFrame) -> None:
+        part.write.mode("append").parquet(f"{base}/in")
+        ev.write_feed(s.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/live", f"{base}/feed").awaitTermination()
+
+    def tail() -> None:
+        rows = ev.live_tail(s, f"{base}/live", schema, f"{base}/snapshot")
+        rows.writeStream.format("parquet").option("path", f"{base}/tail").option("checkpointLocation", f"{base}/reader").trigger(availableNow=True).start().awaitTermination()
+
+    feed(parts[0])
+    feed(parts[1])
+    ev.take_snapshot(s, f"{base}/live", schema, f"{base}/snapshot", None)
+    tail()
+    feed(parts[2])
+    tail()
+    feed(parts[3])
+    tail()
+    seen = ev.snapshot_events(s, f"{base}/snapshot", schema).withColumn("read_from", F.lit("snapshot"))
+    after = s.read.schema(schema).parquet(f"{base}/tail").withColumn("read_from", F.lit("tail"))
+    return seen.unionByName(after).select("audit_id", "seq", "type", "status", _long("progress"), "read_from")
+
+
 # --- everything -------------------------------------------------------------------------------------------
 
 

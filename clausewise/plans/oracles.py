@@ -115,11 +115,18 @@ def _extra(p, a, b, n):
     return f"(({_interest(p, a, n)}) - ({_interest(p, b, n)}))"
 
 
-COMPARED = f"""compared AS (
-  SELECT d.*, term_used, coalesce(principal_cmp, 500000.0) AS p, term_cost, principal_cost,
-         floor(abs({_extra('coalesce(principal_cmp, 500000.0)', 'numeric_value', 'rate_value', 'term_used')}) + 0.5) AS impact
+def _grown(p, r, n, growth):
+    """Interest over all payments, from the growth of 1 over ``n`` months."""
+    return f"CASE WHEN {p} <= 0 OR {n} <= 0 THEN 0 ELSE greatest(0, CASE WHEN {r} = 0 THEN {p} ELSE {p} * ({r} / 1200.0 * {growth}) / ({growth} - 1) * {n} END - {p}) END"
+
+
+COMPARED = f"""terms AS MATERIALIZED (
+  SELECT d.*, term_used, coalesce(principal_cmp, 500000.0) AS p, principal_cost, coalesce(term_cost, 60.0) AS n,
+         pow(1 + numeric_value / 1200.0, term_used) AS g, pow(1 + rate_value / 1200.0, term_used) AS h, pow(1 + numeric_value / 1200.0, coalesce(term_cost, 60.0)) AS g2, pow(1 + rate_value / 1200.0, coalesce(term_cost, 60.0)) AS h2
   FROM deltas d JOIN facts_used USING (audit_id)),
-compared_graded AS (
+compared AS (
+  SELECT *, floor(abs(({_grown('p', 'numeric_value', 'term_used', 'g')}) - ({_grown('p', 'rate_value', 'term_used', 'h')})) + 0.5) AS impact FROM terms)"""
+COMPARED_GRADED = f"""compared_graded AS (
   SELECT *, CASE WHEN direction = 'FAVORABLE' THEN 'INFO' ELSE {_severity('delta_percent')} END AS severity,
          CASE WHEN direction = 'UNFAVORABLE' THEN 'Above-Market ' || {_words_up('label')} ELSE 'Below-Market ' || {_words_up('label')} || ' (In Your Favour)' END AS title
   FROM compared WHERE direction <> 'NEUTRAL')"""
@@ -132,7 +139,7 @@ DESCRIBED = f"""described AS (
         || {PCT.format('rate_value')} || ' (' || source_name || '). This term is in your favour.' END AS description FROM compared_graded)"""
 
 ITEMS = f"""items AS (
-  SELECT audit_id, pos, title AS item, CASE WHEN principal_cost IS NOT NULL THEN {_extra('principal_cost', 'numeric_value', 'rate_value', 'coalesce(term_cost, 60.0)')} ELSE impact END AS amount
+  SELECT audit_id, pos, title AS item, CASE WHEN principal_cost IS NOT NULL THEN ({_grown('principal_cost', 'numeric_value', 'n', 'g2')}) - ({_grown('principal_cost', 'rate_value', 'n', 'h2')}) ELSE impact END AS amount
   FROM compared_graded WHERE direction = 'UNFAVORABLE')"""
 
 SCORES = f"""scores AS (
@@ -147,7 +154,8 @@ def _with(*parts: str) -> str:
 
 BASE = (AUDITS, CLAUSES)
 SCORED = _with(*BASE, DELTAS, GRADED, SCORES)
-FULL = _with(*BASE, DELTAS, FACTS, COMPARED, DESCRIBED, ITEMS)
+FULL = _with(*BASE, DELTAS, FACTS, COMPARED, COMPARED_GRADED, DESCRIBED, ITEMS)
+TOLD = _with(*BASE, DELTAS, FACTS, COMPARED, COMPARED_GRADED, DESCRIBED)
 CL = _with(CLAUSES)
 
 # --- comparison, issues, cost, score ----------------------------------------------------------------------
@@ -165,17 +173,17 @@ ORACLES["rate_best_candidate"] = _with(HISTORY) + f"""SELECT rate_key, source_na
   FROM history h JOIN (SELECT unnest({_list(CATS)}) AS rate_key) w ON (CASE WHEN bare THEN contains(lower(source_name), w.rate_key) ELSE h.category = w.rate_key END) WHERE unit <> 'CAD') WHERE rn = 1"""
 ORACLES["lookup_key_resolution"] = CL + f""", both_labels AS (SELECT label, category FROM clauses UNION ALL SELECT p_name || ' ' || p_type, 'fees' FROM part)
 SELECT label, category, {_key('category', 'label')} AS rate_key, {_key('category', "replace(label, '_', ' ')")} AS rate_key_clean, count(*) AS n FROM both_labels GROUP BY ALL"""
-ORACLES["clause_comparison"] = FULL + "SELECT audit_id, clause_id, rate_key, rate_value, delta, delta_percent, direction, impact, term_used, unit <> 'percent' AS unit_mismatch FROM compared"
+ORACLES["clause_comparison"] = _with(*BASE, DELTAS, FACTS, COMPARED) + "SELECT audit_id, clause_id, rate_key, rate_value, delta, delta_percent, direction, impact, term_used, unit <> 'percent' AS unit_mismatch FROM compared"
 ORACLES["amortisation"] = f"""WITH o AS (SELECT o_orderkey AS audit_id, o_totalprice AS p, (o_orderkey % 13) * 0.5::DOUBLE AS ra, (o_orderkey % 11) * 0.7::DOUBLE AS rb, ((o_orderkey % 7) * 60)::DOUBLE AS n FROM orders)
 SELECT audit_id, floor(({_pay('p', 'ra', 'n')}) * 100 + 0.5) / 100 AS payment, floor(({_interest('p', 'ra', 'n')}) * 100 + 0.5) / 100 AS interest, floor({_extra('p', 'ra', 'rb', 'n')} * 100 + 0.5) / 100 AS extra FROM o"""
 ORACLES["term_and_principal"] = _with(*BASE, FACTS) + "SELECT audit_id, n_clauses, term_cmp, term_cost, principal_cmp, principal_cost, term_used FROM facts_used"
 ORACLES["cost_of_loyalty"] = FULL + """SELECT audit_id, floor(t + 0.5) AS total_cost, floor(t - t * 0.15 + 0.5) AS low, floor(t + 0.5) AS mid, floor(t + t * 0.15 + 0.5) AS high, n_items, coalesce(term_cost, 60.0) AS term_months,
   CASE WHEN principal_cost <> 0 THEN 4 ELSE 3 END::BIGINT AS n_assumptions FROM (SELECT f.*, coalesce(t0, 0) AS t, coalesce(n0, 0) AS n_items FROM facts f LEFT JOIN (SELECT audit_id, sum(amount) AS t0, count(*) AS n0 FROM items GROUP BY 1) USING (audit_id))"""
-ORACLES["cost_breakdown"] = FULL + "SELECT audit_id, pos, item, floor(amount * 10 + 0.5) / 10 AS amount FROM items"
+ORACLES["cost_breakdown"] = _with(*BASE, DELTAS, FACTS, COMPARED, COMPARED_GRADED, ITEMS) + "SELECT audit_id, pos, item, floor(amount * 10 + 0.5) / 10 AS amount FROM items"
 ORACLES["severity_matrix"] = _with(CLAUSES, DELTAS) + f"SELECT category, {_severity('delta_percent')} AS by_percent, {_severity('delta')} AS by_points, count(*) AS n FROM deltas WHERE direction = 'UNFAVORABLE' GROUP BY ALL"
-ORACLES["issue_titles"] = FULL + """SELECT 'issue_' || clause_id AS issue_id, severity, title, description, category || '|' || lower(severity) || '|' || lower(direction) || '|' || label AS tags,
+ORACLES["issue_titles"] = TOLD + """SELECT 'issue_' || clause_id AS issue_id, severity, title, description, category || '|' || lower(severity) || '|' || lower(direction) || '|' || label AS tags,
   CASE WHEN direction = 'UNFAVORABLE' AND impact > 0 THEN impact END AS lifetime_cost FROM described"""
-ORACLES["issue_details"] = FULL + """SELECT 'issue_' || clause_id AS issue_id, summary || ' The clause was extracted from page ' || page_no || ' of the document with ' || floor(confidence * 100 + 0.5)::BIGINT
+ORACLES["issue_details"] = TOLD + """SELECT 'issue_' || clause_id AS issue_id, summary || ' The clause was extracted from page ' || page_no || ' of the document with ' || floor(confidence * 100 + 0.5)::BIGINT
   || '% extraction confidence. Benchmark data sourced from ' || source_name || ' (as of ' || as_of || '). Reference: ' || url || '.' AS detail FROM described"""
 ORACLES["fallback_summaries"] = SCORED + """SELECT audit_id, 'This ' || replace(contract_type, '_', ' ') || ' contract was analysed. ' || n_issues || ' issue(s) were identified (' || n_critical || ' critical, ' || n_high
   || ' high severity). Risk score: ' || risk_score || '/100. Please review the detailed findings below.' AS summary FROM scores"""
@@ -343,7 +351,8 @@ def _norm(x: str) -> str:
 
 ORACLES["exact_anchor"] = f"SELECT item_id, doc_id FROM (SELECT item_id, {_norm('text')} AS q FROM benchmark) JOIN (SELECT doc_id, {_norm('text')} AS t FROM documents) ON contains(t, q)"
 QUOTES = f"""page_norm AS (SELECT *, {_norm('text')} AS t FROM page_rows),
-wanted AS (SELECT DISTINCT audit_id, {_norm("replace(substr(text, 11, 40), ' ', '  ')")} AS norm FROM page_rows WHERE length(text) >= 60 AND page_no % 3 = 1 AND regexp_matches(substr(text, 11, 40), '\\S')),
+cut AS (SELECT audit_id, CASE WHEN length(text) > 50 THEN substr(text, 11, 40) ELSE text END AS part FROM page_rows),
+wanted AS (SELECT DISTINCT audit_id, {_norm('part')} AS norm FROM cut WHERE regexp_matches(part, '\\S')),
 firsts AS (SELECT w.audit_id, norm, min(page_no) AS page_no FROM wanted w JOIN page_norm p ON w.audit_id = p.audit_id AND contains(t, norm) GROUP BY 1, 2)"""
 ORACLES["anchor_first_page"] = _with(PAGES, QUOTES) + "SELECT audit_id, md5(norm) AS q, page_no FROM firsts"
 ORACLES["raw_offsets"] = _with(PAGES, QUOTES) + """SELECT f.audit_id, md5(norm) AS q, strpos(lower(text), norm) - 1 AS off_start, strpos(lower(text), norm) - 1 + length(norm) AS off_end, sha256(substr(text, strpos(lower(text), norm), length(norm))) AS text_hash
@@ -397,8 +406,9 @@ ORACLES["event_terminal"] = EV + "SELECT audit_id, min(seq) FILTER (type = 'comp
 ORACLES["event_eta"] = EV + """SELECT c_custkey AS audit_id, coalesce(p, 0) AS progress, CASE WHEN coalesce(p, 0) >= 100 THEN 0 ELSE floor(90.0 * (1.0 - coalesce(p, 0) / 100.0) + 0.5) END::BIGINT AS seconds_left
   FROM customer LEFT JOIN (SELECT audit_id, arg_max(progress, seq) AS p FROM ev WHERE type = 'status_change' GROUP BY 1) ON c_custkey = audit_id"""
 ORACLES["event_feed"] = EV + "SELECT audit_id, type, count(*) AS n FROM ev WHERE type <> 'complete' GROUP BY 1, 2"
-ORACLES["event_replay"] = EV + """SELECT audit_id, seq, type, status, progress FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY seq DESC) AS age FROM ev WHERE audit_id % 2 = 0) WHERE age <= 20
-  UNION ALL SELECT audit_id, -1, 'status_change', status, progress FROM last_status WHERE audit_id % 2 <> 0"""
+ORACLES["event_replay"] = EV + """SELECT audit_id, seq, type, status, progress FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY seq DESC) AS age FROM ev) WHERE age <= 20"""
+ORACLES["stream_open_state"] = EV + "SELECT audit_id * 10 + seq % 10 AS audit_id, least(count(*), 100) AS n_kept FROM ev GROUP BY ev.audit_id * 10 + seq % 10 HAVING count(*) FILTER (type = 'complete') = 0"
+ORACLES["event_live_tail"] = EV + "SELECT audit_id, seq, type, status, progress, CASE WHEN floor(seq * 4 / ((SELECT max(seq) FROM ev) + 1)) < 2 THEN 'snapshot' ELSE 'tail' END AS read_from FROM ev"
 STAGE_LIST = list(ref.STAGES)
 ORACLES["event_payloads"] = f"""SELECT CASE WHEN event_id % 10 = 7 THEN 'COMPLETE' ELSE 'CLASSIFYING' END AS status, ({_list([v[1] for v in ref.STAGES.values()] + [ref.DEFAULT_STAGE_MESSAGE])})[(event_id % 10 + 1)::INT] AS message,
   ([{', '.join(str(v[0]) for v in ref.STAGES.values())}, 0])[(event_id % 10 + 1)::INT]::BIGINT AS progress, count(*) AS n, count(*) FILTER (event_id % 10 = 7) AS n_terminal FROM events WHERE event_id % 9 <> 0 GROUP BY ALL"""

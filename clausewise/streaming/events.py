@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from clausewise.functions.maths import half_up, lookup
 from clausewise.sources.reference_data import (
@@ -158,38 +159,75 @@ def merge_updates(updates: DataFrame, fields: list[str]) -> DataFrame:
 # --- state per audit, on streams --------------------------------------------------------------------------
 
 
-class LastEvents(StatefulProcessor):
-    """Keeps the newest events of an audit and marks it closed once a terminal event came."""
+CLOSED_SECONDS = 86_400
 
-    def __init__(self, keep: int = HISTORY_EVENTS):
-        self.keep = keep
+
+class UntilTerminal(StatefulProcessor):
+    """State of an audit that ends: with its terminal event everything kept is deleted but a mark of one bit.
+
+    While the mark lives, late events of the audit give nothing and bring no state back. With ``linger_seconds`` the mark
+    has a time to live (``CLOSED_SECONDS`` is a day). Spark's clock for that keeps a query running, so runs that shall
+    end by themselves (``availableNow``) give none.
+    """
+
+    def __init__(self, linger_seconds: int | None = None):
+        self.linger = linger_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.events = handle.getListState("events", "seq bigint")
-        self.closed = handle.getValueState("closed", "closed boolean")
+        self.closed = handle.getValueState("closed", "closed boolean", ttlDurationMs=self.linger * 1000 if self.linger else None)
+        self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [r[0] for r in self.events.get()]
-        closed = self.closed.exists()
-        for batch in rows:
-            for seq, terminal in zip(batch["seq"], batch["terminal"]):
-                kept.append(int(seq))
-                closed = closed or bool(terminal)
-            kept = sorted(kept)[-self.keep :]
-        self.events.put([(s,) for s in kept])
-        if closed:
+        batches = list(rows)
+        if self.closed.exists() or not batches:
+            return
+        given = pd.concat(batches)
+        ended = bool(given["terminal"].any())
+        out = self.update(given, ended)
+        if ended:
             self.closed.update((True,))
-        yield pd.DataFrame({"audit_id": [key[0]] * len(kept), "seq": kept, "closed": [closed] * len(kept)})
+        if len(out):
+            yield out.assign(audit_id=key[0])[["audit_id", *out.columns]]
 
     def close(self) -> None:
         pass
 
 
-def stream_history(events: DataFrame, keep: int = HISTORY_EVENTS) -> DataFrame:
-    """Streaming form of ``history``: after each batch the kept events of the audits it touched (update mode)."""
-    prepared = events.select("audit_id", "seq", is_terminal(F.col("type"), F.col("status")).alias("terminal"))
+class LastEvents(UntilTerminal):
+    """Keeps the newest events of an open audit and marks it closed once a terminal event came."""
+
+    def __init__(self, keep: int = HISTORY_EVENTS, linger_seconds: int | None = None):
+        super().__init__(linger_seconds)
+        self.keep = keep
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.events = handle.getListState("events", "seq bigint, type string, status string, progress int")
+
+    def update(self, given: pd.DataFrame, ended: bool) -> pd.DataFrame:
+        columns = ["seq", "type", "status", "progress"]
+        old = pd.DataFrame([tuple(r) for r in self.events.get()], columns=columns)
+        every = pd.concat([old, given[columns]]) if len(old) else given[columns]
+        kept = every.sort_values("seq", kind="stable").tail(self.keep)
+        if ended:
+            self.events.clear()
+        else:
+            self.events.put([(int(q), t, s, None if pd.isna(p) else int(p)) for q, t, s, p in kept.itertuples(index=False)])
+        return kept.assign(closed=ended)
+
+
+def _marked(events: DataFrame) -> DataFrame:
+    return events.withColumn("terminal", F.coalesce(is_terminal(F.col("type"), F.col("status")), F.lit(False)))
+
+
+def stream_history(events: DataFrame, keep: int = HISTORY_EVENTS, linger_seconds: int | None = None) -> DataFrame:
+    """Streaming form of ``history``: after each batch the kept events of the audits it touched (update mode).
+
+    The state holds the events of open audits only; the batch with the terminal event gives the last rows of an audit.
+    """
+    prepared = _marked(events).select("audit_id", "seq", "type", "status", F.col("progress").cast("int").alias("progress"), "terminal")
     return prepared.groupBy("audit_id").transformWithStateInPandas(
-        statefulProcessor=LastEvents(keep), outputStructType="audit_id bigint, seq bigint, closed boolean", outputMode="Update", timeMode="None"
+        statefulProcessor=LastEvents(keep, linger_seconds), outputStructType="audit_id bigint, seq bigint, type string, status string, progress int, closed boolean",
+        outputMode="Update", timeMode="ProcessingTime" if linger_seconds else "None",
     )
 
 
@@ -223,18 +261,72 @@ def stream_latest_status(events: DataFrame, ttl_seconds: int = STATUS_TTL_SECOND
     )
 
 
-def stream_latest_progress(events: DataFrame) -> DataFrame:
-    """Streaming form of ``latest_progress`` (update mode): a built-in aggregation, state of one row per audit."""
-    return latest_progress(events)
+class LatestProgress(UntilTerminal):
+    """Progress of the last status event of an open audit."""
+
+    def open(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "seq bigint, progress int")
 
+    def update(self, given: pd.DataFrame, ended: bool) -> pd.DataFrame:
+        best = self.last.get() if self.last.exists() else None
+        changes = given[given["type"] == "status_change"]
+        if len(changes):
+            top = changes.loc[changes["seq"] == changes["seq"].max()].iloc[0]
+            if best is None or top["seq"] > best[0]:
+                best = (int(top["seq"]), int(top["progress"]))
+        if ended:
+            self.last.clear()
+        elif best is not None:
+            self.last.update(tuple(best))
+        return pd.DataFrame({"progress": [best[1]] if best is not None else []}, dtype="int32")
 
-def write_feed(events: DataFrame, snapshot_path: str, live_path: str, checkpoint: str, **trigger):
-    """Write every batch both to the live feed and to the snapshot that ``replay`` starts from, so the two agree."""
 
-    def both(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        batch.write.mode("overwrite").parquet(f"{snapshot_path}/batch={batch_id}")
+def stream_latest_progress(events: DataFrame, linger_seconds: int | None = None) -> DataFrame:
+    """Streaming form of ``latest_progress`` (update mode); the state holds open audits only."""
+    prepared = _marked(events).filter("terminal or (type = 'status_change' and progress is not null)").select("audit_id", "seq", "type", F.col("progress").cast("int").alias("progress"), "terminal")
+    return prepared.groupBy("audit_id").transformWithStateInPandas(
+        statefulProcessor=LatestProgress(linger_seconds), outputStructType="audit_id bigint, progress int", outputMode="Update",
+        timeMode="ProcessingTime" if linger_seconds else "None",
+    )
+
+
+def kept_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    """The state ``name`` as a stopped stream left it: ``audit_id`` and a row per kept value."""
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint).select(F.col("key.*"), "*").drop("key")
+
+
+# --- replay, then live tail -------------------------------------------------------------------------------
+
+
+def write_feed(events: DataFrame, live_path: str, checkpoint: str, **trigger):
+    """Write every batch of events to the live feed, a folder of its own for each; a retried batch replaces its folder.
+
+    A batch is entered in the list of finished ones after it is written, so a snapshot never counts half a batch.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{live_path}/batch={batch_id}")
-        batch.unpersist()
+        batch.sparkSession.range(1).select(F.lit(batch_id).cast("long").alias("finished")).write.mode("overwrite").parquet(f"{live_path}_finished/of={batch_id}")
+
+    return events.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def take_snapshot(spark: SparkSession, live_path: str, schema: StructType, snapshot_path: str, keep: int | None = HISTORY_EVENTS) -> None:
+    """What a late reader starts from: the kept history of the finished batches, and the last of these batches."""
+    offset = spark.read.schema("finished long").parquet(f"{live_path}_finished").agg(F.coalesce(F.max("finished"), F.lit(-1)).alias("offset"))
+    live = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(live_path)
+    until = live.filter(F.col("batch") <= offset.first()[0])
+    rows = until if keep is None else history(until, keep).drop("age")
+    rows.write.mode("overwrite").parquet(f"{snapshot_path}/events")
+    offset.write.mode("overwrite").parquet(f"{snapshot_path}/offset")
+
+
+def snapshot_events(spark: SparkSession, snapshot_path: str, schema: StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{snapshot_path}/events")
+
 
-    return events.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def live_tail(spark: SparkSession, live_path: str, schema: StructType, snapshot_path: str) -> DataFrame:
+    """The stream of events after a snapshot: batches above the snapshot's offset. Each event is in one batch, so none is
+    lost or doubled at the hand-over; from there on the reader's own checkpoint counts, also after a restart."""
+    offset = spark.read.schema("offset long").parquet(f"{snapshot_path}/offset").first()[0]
+    return spark.readStream.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(live_path).filter(F.col("batch") > offset).drop("batch")

@@ -118,12 +118,48 @@ def test_status_with_time_to_live(spark, tmp_path):
     assert [tuple(r) for r in spark.read.parquet(out).distinct().collect()] == [(1, 4, "EXTRACTING", 4)]
 
 
-def test_feed_and_snapshot_agree(spark, tmp_path):
-    src = tmp_path / "ev"
-    spark.range(20).select(F.col("id").alias("audit_id")).write.parquet(str(src))
-    stream = spark.readStream.schema("audit_id long").parquet(str(src))
-    events.write_feed(stream, str(tmp_path / "snap"), str(tmp_path / "live"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "snap")).count() == spark.read.parquet(str(tmp_path / "live")).count() == 20
+EVENT = "audit_id long, seq long, type string, status string, progress int"
+
+
+def test_state_ends_with_the_terminal_event(spark, tmp_path):
+    src, out, checkpoint = (str(tmp_path / x) for x in ("ev", "out", "cp"))
+
+    def run(*rows):
+        spark.createDataFrame(rows, EVENT).write.mode("append").parquet(src)
+        q = events.stream_history(spark.readStream.schema(EVENT).parquet(src), 3)
+        q.writeStream.outputMode("update").foreachBatch(lambda b, i: b.write.mode("append").parquet(f"{out}/of={i}")).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.audit_id, r.seq) for r in events.kept_state(spark, checkpoint, "events").collect())
+
+    change = lambda a, i: (a, i, "status_change", "EXTRACTING", i)
+    assert run(*[change(1, i) for i in range(5)], change(2, 1)) == [(1, 2), (1, 3), (1, 4), (2, 1)]
+    assert run((1, 9, "complete", None, None)) == [(2, 1)]
+    assert run(change(1, 10), change(3, 1), change(3, 2)) == [(2, 1), (3, 1), (3, 2)]  # the late event of audit 1 brings nothing back
+    last = spark.read.parquet(out).filter("audit_id = 1").collect()
+    assert max(r.seq for r in last) == 9 and {r.closed for r in last if r.of == 1} == {True}
+
+
+def test_snapshot_then_tail(spark, tmp_path):
+    src, live, snapshot, tail = (str(tmp_path / x) for x in ("ev", "live", "snap", "tail"))
+    schema = spark.createDataFrame([], EVENT).schema
+
+    def feed(first, last):
+        spark.createDataFrame([(i % 3, i, "status_change", "EXTRACTING", 0) for i in range(first, last)], EVENT).write.mode("append").parquet(src)
+        events.write_feed(spark.readStream.schema(EVENT).parquet(src), live, str(tmp_path / "cp")).awaitTermination()
+
+    def read():
+        rows = events.live_tail(spark, live, schema, snapshot)
+        rows.writeStream.format("parquet").option("path", tail).option("checkpointLocation", str(tmp_path / "reader")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.seq for r in spark.read.schema(EVENT).parquet(tail).collect())
+
+    feed(0, 10)
+    events.take_snapshot(spark, live, schema, snapshot, 2)
+    assert sorted(r.seq for r in events.snapshot_events(spark, snapshot, schema).collect()) == [4, 5, 6, 7, 8, 9]
+    assert read() == []
+    feed(10, 14)
+    feed(14, 15)
+    assert read() == [10, 11, 12, 13, 14]
+    feed(15, 16)
+    assert read() == [10, 11, 12, 13, 14, 15]
 
 
 def test_key_is_in_no_plan(spark):
