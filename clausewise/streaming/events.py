@@ -207,7 +207,7 @@ class LastEvents(UntilTerminal):
         columns = ["seq", "type", "status", "progress"]
         old = pd.DataFrame([tuple(r) for r in self.events.get()], columns=columns)
         every = pd.concat([old, given[columns]]) if len(old) else given[columns]
-        kept = every.sort_values("seq", kind="stable").tail(self.keep)
+        kept = every.sort_values("seq", kind="stable").tail(self.keep).astype({"progress": "Int32"})
         if ended:
             self.events.clear()
         else:
@@ -292,7 +292,8 @@ def stream_latest_progress(events: DataFrame, linger_seconds: int | None = None)
 
 def kept_state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
     """The state ``name`` as a stopped stream left it: ``audit_id`` and a row per kept value."""
-    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint).select(F.col("key.*"), "*").drop("key")
+    kept = spark.read.format("statestore").option("stateVarName", name).load(checkpoint)
+    return kept.select("key.*", "list_element.*" if "list_element" in kept.columns else "value.*")
 
 
 # --- replay, then live tail -------------------------------------------------------------------------------
