@@ -22,8 +22,8 @@ From signatures to components without listing the pairs of a group:
   group. In ``HUB_ROUNDS`` every open member meets a hub of another component, so that mutual near copies grow together;
   then groups of at most ``FEW_MEMBERS`` open members give their pairs, each pair once and only where components differ
   and sizes can match; bit maps that can only err on the safe side sift them before whole sets are joined. Larger groups
-  are compared in blocks of bounded size, skipping blocks whose sizes cannot match or whose members are connected
-  already; a block counts all intersections at once and returns only links that connect something new.
+  compare their bit maps in blocks of bounded size, skipping blocks whose sizes cannot match or whose members are
+  connected already.
 
 Every similarity is computed exactly on 64-bit hashes of n-grams. Null and empty texts have no set and stay alone; a
 text of fewer than n words is one sequence. Documents of equal doc_id count as one document with several texts; a null
@@ -50,7 +50,6 @@ FEW_MEMBERS = 32
 HUB_ROUNDS = 3
 BLOCK_ELEMENTS = 1_000_000
 BLOCK_ROWS = 1024
-SLAB = 2048
 BUCKET_SIGNATURES = 250_000
 SLICE_BYTES = 2 << 20  # signatures take many times the memory of their text
 PIECE = (1 << 21) - 1
@@ -350,52 +349,21 @@ def verified(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def block_links(sets: tuple, other: tuple | None, percent: int) -> list[tuple[int, int]]:
-    """Links between members of different components, as many as it takes to connect them.
+def folded(maps: list[np.ndarray], width: int) -> np.ndarray:
+    """Bit maps as the rows of a matrix, all brought to ``width`` cells."""
+    return np.stack([np.bitwise_or.reduce(m.reshape(-1, width)) for m in maps])
 
-    A side is (ids, components, sets); without ``other`` the side is compared with itself. Intersections are counted as
-    products of 0/1 matrices over the elements that both sides have, slab by slab.
-    """
-    sides = [sets, other or sets]
-    flat = [np.concatenate(s[2]) for s in sides]
-    owner = [np.repeat(np.arange(len(s[0])), [len(x) for x in s[2]]) for s in sides]
-    every, code = np.unique(np.concatenate(flat), return_inverse=True)
-    codes = [code[: len(flat[0])], code[len(flat[0]) :]]
-    count = [np.bincount(c, minlength=len(every)) for c in codes]
-    common = (count[0] > 0) & (count[1] > 0) if other else count[0] > 1
-    rank = np.cumsum(common) - 1
-    kept = [(o[common[c]], rank[c[common[c]]]) for o, c in zip(owner, codes, strict=True)]
-    size = [np.array([len(x) for x in s[2]], np.float64) for s in sides]
-    both = np.zeros((len(size[0]), len(size[1])), np.float32)
-    order = [np.argsort(r, kind="stable") for _, r in kept]
-    kept = [(o[i], r[i]) for (o, r), i in zip(kept, order, strict=True)]
-    for start in range(0, int(common.sum()), SLAB):
-        slab = []
-        for (o, r), s in zip(kept, sides, strict=True):
-            a, b = np.searchsorted(r, (start, start + SLAB))
-            m = np.zeros((len(s[0]), SLAB), np.float32)
-            m[o[a:b], r[a:b] - start] = 1
-            slab.append(m)
-        both += slab[0] @ slab[1].T
-    exact = np.rint(both.astype(np.float64))
-    if not other:
-        np.fill_diagonal(exact, size[0])
-    good = 100 * exact >= percent * (size[0][:, None] + size[1][None, :] - exact)
-    good &= sides[0][1][:, None] != sides[1][1][None, :]
-    root: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    out = []
-    for i, j in np.argwhere(good):
-        p, q = find(int(sides[0][1][i])), find(int(sides[1][1][j]))
-        if p != q:
-            root[p] = q
-            out.append((int(sides[0][0][i]), int(sides[1][0][j])))
-    return out
+
+def block_pairs(one: tuple, two: tuple, percent: int):
+    """(a, b) arrays of members of different components that the bit maps do not rule out; a side is (ids, components, sizes, maps)."""
+    width = min(len(m) for side in (one, two) for m in side[3])
+    left, right = folded(one[3], width), folded(two[3], width)
+    for i in range(len(left)):
+        lost, extra = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (left[i] & ~right, right & ~left[i]))
+        both = np.minimum(one[2][i] - lost, two[2] - extra)
+        good = (100 * both >= percent * (one[2][i] + two[2] - both)) & (two[1] != one[1][i])
+        if good.any():
+            yield np.full(int(good.sum()), one[0][i]), two[0][good]
 
 
 def open_groups(members: DataFrame, settled: DataFrame) -> DataFrame:
@@ -444,7 +412,8 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links inside large groups, ``members(seed, cid, component, size)``: chunks of like sizes, chunk against chunk."""
+    """``a, b``: pairs inside large groups, ``members(seed, cid, component, size)``, that lie in different components and
+    that the bit maps do not rule out: chunks of like sizes, chunk against chunk; only the maps are shuffled."""
     # groups of the same members, as the many signatures of near copies make them, are one
     whole = members.groupBy("seed").agg(F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("n"))
     kept = materialise(whole.groupBy("sum", "low", "high", "n").agg(F.min("seed").alias("seed")).select("seed"))
@@ -462,21 +431,23 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("least_j") * percent <= F.col("most_i") * 100) & (F.col("least_i") * percent <= F.col("most_j") * 100)
     plan = left.join(right, "seed").filter((F.col("i") <= F.col("j")) & fits & ~settled).select("seed", "i", "j")
     sides = materialise(plan.select("seed", "i", "j", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j"))).alias("chunk")))
-    rows = sides.join(chunked, ["seed", "chunk"]).join(sets.select("cid", "elements"), "cid")
+    maps = sets.select("cid", "bits")
+    rows = sides.join(chunked, ["seed", "chunk"]).join(maps, "cid").select("seed", "i", "j", "chunk", "cid", "component", "size", "bits")
 
     def work(group: pa.Table) -> pa.Table:
         chunk = group["chunk"].to_numpy()
-        ids, comps = group["cid"].to_numpy(), group["component"].to_numpy()
-        elements = group["elements"].combine_chunks()
+        ids, comps, sizes = (group[c].to_numpy() for c in ("cid", "component", "size"))
+        maps = group["bits"].to_pylist()
         sides = []
         for c in np.unique(chunk):
             mine = np.flatnonzero(chunk == c)
-            sides.append((ids[mine], comps[mine], [elements[int(i)].values.to_numpy() for i in mine]))
+            sides.append((ids[mine], comps[mine], sizes[mine], [np.frombuffer(maps[i], np.uint64) for i in mine]))
         one_sided = group["i"][0].as_py() == group["j"][0].as_py()
-        found = block_links(sides[0], None if one_sided else sides[1], percent) if one_sided or len(sides) == 2 else []
-        return pa.table([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+        found = list(block_pairs(sides[0], sides[-1], percent)) if one_sided or len(sides) == 2 else []
+        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return rows.select("seed", "i", "j", "chunk", "cid", "component", "elements").groupBy("seed", "i", "j").applyInArrow(work, "a long, b long")
+    return rows.groupBy("seed", "i", "j").applyInArrow(work, "a long, b long").distinct()
 
 
 def all_links(members: DataFrame, starred: DataFrame, sets: DataFrame, percent: int, few: int) -> DataFrame:
@@ -498,7 +469,8 @@ def all_links(members: DataFrame, starred: DataFrame, sets: DataFrame, percent:
     large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
     paired = materialise(sifted(_group_pairs(small, percent), sets, percent))
     links = links.unionByName(materialise(verified(_with_sets(paired, sets), percent)))
-    return links.unionByName(materialise(_blocks(large, sets, percent)))
+    blocked = materialise(_blocks(large, sets, percent))
+    return links.unionByName(materialise(verified(_with_sets(blocked, sets), percent)))
 
 
 def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
