@@ -18,6 +18,8 @@ from clausewise.sources.reference_data import (
     SUMMARY_ISSUES,
 )
 
+EDGES = r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$"  # white space around a reply
+
 
 def severity_rank(name: Column) -> Column:
     return lookup(name, SEVERITY_RANK, F.lit(0))
@@ -248,3 +250,27 @@ def summary_requests(audits: DataFrame, passed_issues: DataFrame, passed_clauses
             F.lit("Write the executive summary now:"),
         ).alias("request"),
     )
+
+
+def settled_replies(written: DataFrame) -> DataFrame:
+    """``written(audit_id, content, error)`` as one row per audit: a reply without an error wins, then the smallest."""
+    pick = F.min(F.struct(F.col("error").isNotNull().alias("failed"), "content", "error"))
+    return written.groupBy("audit_id").agg(pick.alias("reply")).select("audit_id", "reply.*")
+
+
+def with_written(summaries: DataFrame, written: DataFrame) -> DataFrame:
+    """Replace ``summary`` by the trimmed reply of its request; without a reply, or after a failed one, it stays as it is.
+
+    An empty reply gives an empty summary.
+    """
+    reply = settled_replies(written).select("audit_id", F.when(~F.col("failed"), F.regexp_replace(F.coalesce("content", F.lit("")), EDGES, "")).alias("_reply"))
+    return summaries.join(reply, "audit_id", "left").withColumn("summary", F.coalesce("_reply", "summary")).drop("_reply")
+
+
+def summary_warnings(audits: DataFrame, written: DataFrame) -> DataFrame:
+    """One warning per audit whose written summary failed."""
+    failed = settled_replies(written).filter("failed").join(audits.select("audit_id"), "audit_id", "left_semi")
+    message = F.concat(F.lit("The summary could not be written ("), F.col("error"), F.lit("); the fallback is shown"))
+    return failed.select(
+        "audit_id", F.lit("SYNTHESIZE_LLM_ERROR").alias("code"), message.alias("message"), F.lit(True).alias("recoverable"), F.lit("CITING").alias("stage")
+    )

@@ -171,6 +171,25 @@ def fallback_summaries(s, d):
     return scored.select("audit_id", words.alias("summary"))
 
 
+def _written(s, d) -> DataFrame:
+    """Replies to summary requests: none, failed, good, or failed and then good, by the order's key."""
+    k = F.col("o_orderkey")
+    good = F.struct(F.concat(F.lit(" \n\t"), F.lit("Order "), k.cast("string"), F.lit(": "), F.col("o_orderpriority"), F.lit("\u00a0 \n")).alias("content"), F.lit(None).cast("string").alias("error"))
+    failed = F.struct(F.lit(None).cast("string").alias("content"), F.concat(F.lit("timeout "), k.cast("string")).alias("error"))
+    replies = F.when(k % 4 == 1, F.array(failed)).when(k % 4 == 2, F.array(good)).when(k % 4 == 3, F.array(failed, good))
+    return sample_tables.table(s, d, "orders").select(k.alias("audit_id"), F.explode(replies).alias("r")).select("audit_id", "r.*")
+
+
+@query
+def written_summaries(s, d):
+    return issues.with_written(fallback_summaries(s, d), _written(s, d))
+
+
+@query
+def summary_warnings(s, d):
+    return issues.summary_warnings(_audits(s, d), _written(s, d))
+
+
 @query
 def summary_requests(s, d):
     c, a = materialise(_clauses(s, d)), _audits(s, d)
@@ -747,6 +766,26 @@ def tool_replies(s, d):
     return got.select("audit_id", "pos", "label", "category", "raw_value", "numeric_value", "unit", "confidence", _long("page_no"), F.col("source.off_end").cast("bigint").alias("off_end"), F.col("source.text_hash").alias("text_hash"))
 
 
+REPEATED = "The interest rate is 5% a year."
+
+
+@query
+def piece_replies(s, d):
+    """Replies to every piece of every whole text, in which a sentence stands at both ends and after each full stop: each place once."""
+    docs = sample_tables.documents(s, d).select(
+        "audit_id", F.concat(F.lit(REPEATED), F.replace("text", F.lit(". "), F.lit(f". {REPEATED} ")), F.lit(REPEATED)).alias("text")
+    )
+    cut = extract.pieces(docs, ref.EXTRACT_CHARS).withColumn("_cut", sp.cut(F.col("piece"), REPEATED.replace(".", r"\.")))
+
+    def call(place: Column) -> Column:
+        said = F.struct(F.lit("5%").alias("rawValue"), F.lit(REPEATED).alias("verbatimText"), place["start"].alias("charOffsetStart"), place["end"].alias("charOffsetEnd"))
+        return F.struct(F.lit("extract_interest_rate").alias("name"), F.to_json(said).alias("arguments"))
+
+    replies = cut.select("audit_id", "piece_no", "piece_start", F.transform(sp.located(F.col("_cut")), call).alias("calls"))
+    got = extract.clauses_from_replies(replies, docs.select("audit_id", F.lit("MORTGAGE").alias("contract_type")))
+    return got.select("audit_id", "label", "raw_value", F.col("source.off_start").cast("bigint").alias("off_start"), F.col("source.off_end").cast("bigint").alias("off_end"))
+
+
 @query
 def weak_clause_warnings(s, d):
     return extract.extraction_warnings(_clauses(s, d)).groupBy("audit_id", "code").agg(F.count("*").alias("n"))
@@ -1018,6 +1057,71 @@ def event_live_tail(s, d):
 # --- everything -------------------------------------------------------------------------------------------
 
 
+def _graded_clauses(s, d) -> DataFrame:
+    """Clauses as after verification: those with a confidence below 0.7 have no place."""
+    return _clauses(s, d).withColumn("verified", F.col("confidence") >= 0.7)
+
+
+def _offers(clauses: DataFrame) -> DataFrame:
+    """Replies to re-extraction requests for every clause: not found, blank, a quote, or an error, by the length of the value."""
+    n = F.length("raw_value") % 4
+    return clauses.select(
+        "audit_id", "clause_id", F.when(n == 0, " NOT_FOUND ").when(n == 1, " ").when(n == 2, F.col("summary")).alias("quote"), F.when(n == 3, "timeout").alias("error")
+    )
+
+
+@query
+def reextract_requests(s, d):
+    return cite.reextract_requests(_graded_clauses(s, d), _pages(s, d)).select("audit_id", "clause_id", _long("page_no"), "instruction")
+
+
+@query
+def reextract_warnings(s, d):
+    """Clauses that could not be asked about, whose request failed, or whose offered quote has no place either."""
+    verified = materialise(_graded_clauses(s, d))
+    offered = _offers(verified)
+    every = cite.reextract_skip_warnings(verified, _pages(s, d)).unionByName(cite.failed_offer_warnings(verified, offered))
+    every = every.unionByName(cite.unanchored_offer_warnings(verified, offered))
+    return every.groupBy("audit_id", "code", "message").agg(F.count("*").alias("n"))
+
+
+@query
+def citation_warnings(s, d):
+    warned = cite.verification_warnings(_audits(s, d), _graded_clauses(s, d))
+    return warned.groupBy("audit_id", "code", "message", "recoverable", "stage").agg(F.count("*").alias("n"))
+
+
+@query
+def search_candidates(s, d):
+    """What is looked for, for every clause: the passage, the value, a shorter passage, each once."""
+    c = _clauses(s, d).withColumn("verbatim", F.when(F.col("page_no") % 3 == 0, F.substring("verbatim", 1, 7)).otherwise(F.col("verbatim")))
+    return c.select("clause_id", F.posexplode(cite.search_candidates(F.col("verbatim"), F.col("raw_value"))).alias("try_no", "quote")).select("clause_id", _long("try_no"), "quote")
+
+
+@query
+def no_type_warnings(s, d):
+    typed = F.when(F.col("audit_id") % 10 != 9, F.col("contract_type"))
+    return benchmark.no_type_warnings(_audits(s, d).withColumn("contract_type", typed))
+
+
+@query
+def rehydrated(s, d):
+    """Stored pages and redaction counts of every document back as input; some records are broken, some absent."""
+    k = F.col("audit_id")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct((i + 1).alias("page_no"), x.alias("text")))
+    stored = sample_tables.documents(s, d).select(
+        "audit_id", F.when(k % 3 != 1, F.col("text")).alias("text"), F.when(k % 5 == 0, "{broken").when(k % 5 != 1, F.to_json(lines)).alias("pages_json")
+    )
+    counts = F.create_map(F.lit("EMAIL_ADDRESS"), k % 7)
+    pii_rows = sample_tables.documents(s, d).filter(k % 2 == 0).select("audit_id", (k % 7).alias("total_redacted"), counts.alias("entity_counts"))
+    got = results.rehydrate(stored, pii_rows)
+    page_chars = F.aggregate("pages", F.lit(0).cast("bigint"), lambda n, p: n + F.length(p["text"]))
+    return got.select(
+        "audit_id", _long("total_redacted"), F.coalesce(F.col("entity_counts")["EMAIL_ADDRESS"], F.lit(-1)).cast("bigint").alias("n_email"),
+        F.size("pages").cast("bigint").alias("n_pages"), page_chars.alias("page_chars"), F.md5(F.col("text").cast("binary")).alias("digest"),
+    )
+
+
 @query
 def audit_flow(s, d):
     """The whole path for one contract per order: redact, classify, extract, compare, cost, anchor, gate, score."""

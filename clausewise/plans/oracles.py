@@ -187,6 +187,10 @@ ORACLES["issue_details"] = TOLD + """SELECT 'issue_' || clause_id AS issue_id, s
   || '% extraction confidence. Benchmark data sourced from ' || source_name || ' (as of ' || as_of || '). Reference: ' || url || '.' AS detail FROM described"""
 ORACLES["fallback_summaries"] = SCORED + """SELECT audit_id, 'This ' || replace(contract_type, '_', ' ') || ' contract was analysed. ' || n_issues || ' issue(s) were identified (' || n_critical || ' critical, ' || n_high
   || ' high severity). Risk score: ' || risk_score || '/100. Please review the detailed findings below.' AS summary FROM scores"""
+ORACLES["written_summaries"] = f"""SELECT f.audit_id, CASE WHEN o_orderkey % 4 >= 2 THEN 'Order ' || o_orderkey || ': ' || o_orderpriority ELSE summary END AS summary
+  FROM ({ORACLES['fallback_summaries']}) f JOIN orders ON o_orderkey = f.audit_id"""
+ORACLES["summary_warnings"] = """SELECT o_orderkey AS audit_id, 'SYNTHESIZE_LLM_ERROR' AS code, 'The summary could not be written (timeout ' || o_orderkey || '); the fallback is shown' AS message, TRUE AS recoverable, 'CITING' AS stage
+  FROM orders WHERE o_orderkey % 4 = 1"""
 NUM = "regexp_replace(regexp_replace(printf('%.6f', {0}::DOUBLE), '0+$', ''), '\\.$', '')"
 ORACLES["summary_requests"] = FULL + f""", c15 AS (SELECT audit_id, string_agg('- ' || replace(label, '_', ' ') || ': ' || raw_value || CASE WHEN numeric_value IS NOT NULL THEN ' (' || {NUM.format('numeric_value')} || ' ' || coalesce(unit, '') || ')' ELSE '' END, chr(10) ORDER BY pos) AS t
   FROM (SELECT *, row_number() OVER (PARTITION BY audit_id ORDER BY pos) AS rn FROM clauses WHERE confidence >= 0.6) WHERE rn <= 15 GROUP BY 1),
@@ -373,6 +377,11 @@ ORACLES["tool_replies"] = """WITH c AS (SELECT conv_id, turn, length(text) AS n,
 SELECT conv_id AS audit_id, pos, CASE turn % 3 WHEN 0 THEN 'interest_rate' ELSE 'principal_amount' END AS label, CASE turn % 3 WHEN 0 THEN 'interest_rate' ELSE 'term_conditions' END AS category, n || '%' AS raw_value, n::DOUBLE AS numeric_value,
   CASE turn % 3 WHEN 0 THEN 'percent' ELSE 'CAD' END AS unit, CASE WHEN n % 10 = 0 THEN 1.0 ELSE (n % 100) / 100.0 END::DOUBLE AS confidence, greatest(1, turn - 1) AS page_no, length(n || '%') AS off_end, sha256(n || '%') AS text_hash
   FROM c WHERE turn % 3 <> 2 AND turn % 4 <> 3 AND n % 11 <> 0"""
+REPEATED = "The interest rate is 5% a year."
+ORACLES["piece_replies"] = f"""WITH parts AS (SELECT doc_id, string_split('{REPEATED}' || replace(text, '. ', '. {REPEATED} ') || '{REPEATED}', '{REPEATED}') AS p FROM documents),
+cut AS (SELECT doc_id, unnest(p) AS part, generate_subscripts(p, 1) AS i, len(p) AS k FROM parts),
+placed AS (SELECT *, (sum(length(part)) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * {len(REPEATED)})::BIGINT AS off_start FROM cut)
+SELECT doc_id AS audit_id, 'interest_rate' AS label, '5%' AS raw_value, off_start, off_start + {len(REPEATED)} AS off_end FROM placed WHERE i < k"""
 ORACLES["weak_clause_warnings"] = CL + "SELECT audit_id, 'EXTRACT_LOW_CONFIDENCE' AS code, count(*) AS n FROM clauses WHERE confidence < 0.5 GROUP BY 1"
 ORACLES["no_clause_warnings"] = "SELECT o_orderkey AS audit_id, 'EXTRACT_NO_CLAUSES' AS code, 'EXTRACTING' AS stage FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"
 COUNTS = {t: len(v) for t, v in ref.TEMPLATES.items()}
@@ -393,6 +402,30 @@ TEMPLATE_ROWS = ", ".join(f"('{t}', '{label}', '{cat}', {'NULL' if unit is None
 ORACLES["wanted_templates"] = _with(AUDITS) + f"""SELECT label, category, expected_unit, count(*) AS n FROM audits a JOIN (VALUES {TEMPLATE_ROWS}) t(ct, label, category, expected_unit)
   ON ct = CASE WHEN a.audit_id % 10 = 9 THEN 'UNKNOWN' ELSE contract_type END GROUP BY ALL"""
 
+# --- citations without a place, stored audits ---------------------------------------------------------------
+
+LINES = "lines AS (SELECT doc_id AS audit_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS page_no FROM documents)"
+OPEN = _with(CLAUSES, LINES, """open_ AS (SELECT c.*, EXISTS (SELECT 1 FROM lines l WHERE l.audit_id = c.audit_id AND l.page_no = c.page_no AND line <> '') AS has_text FROM clauses c WHERE confidence < 0.7)""")
+ORACLES["reextract_requests"] = OPEN + """SELECT audit_id, clause_id, page_no::BIGINT AS page_no, 'Quote, letter for letter, the passage of this page that states "' || label || '" as "' || raw_value
+  || '". Answer with the quote alone, or with NOT_FOUND where the page does not state it.' AS instruction FROM open_ WHERE has_text"""
+ORACLES["reextract_warnings"] = OPEN + """SELECT audit_id, 'L3_CITE_REEXTRACT_FAILED' AS code, message, count(*) AS n FROM (
+  SELECT audit_id, 'No text to look for "' || label || '" on page ' || page_no AS message FROM open_ WHERE NOT has_text
+  UNION ALL SELECT audit_id, 'Asking for "' || label || '" on page ' || page_no || ' failed: timeout' FROM open_ WHERE length(raw_value) % 4 = 3
+  UNION ALL SELECT audit_id, 'Citation re-extraction returned an unanchorable quote for "' || label || '" on page ' || page_no || '.' FROM open_ WHERE length(raw_value) % 4 = 2) GROUP BY ALL"""
+ORACLES["citation_warnings"] = _with(CLAUSES) + """SELECT audit_id, code, message, TRUE AS recoverable, 'CITING' AS stage, count(*) AS n FROM (
+  SELECT audit_id, 'L3_CITE_NO_MATCH' AS code, 'Could not verify "' || label || '" in source document' AS message FROM clauses WHERE confidence < 0.7
+  UNION ALL SELECT audit_id, 'CITE_UNVERIFIED_SUMMARY', count(*) || ' clause(s) could not be verified in the source document' FROM clauses WHERE confidence < 0.7 GROUP BY audit_id
+  UNION ALL SELECT o_orderkey, 'CITE_NO_CLAUSES', 'No clauses to verify — citations node is a no-op' FROM orders WHERE o_orderkey NOT IN (SELECT audit_id FROM clauses)) GROUP BY ALL"""
+ORACLES["search_candidates"] = _with(CLAUSES) + """, c AS (SELECT clause_id, trim(CASE WHEN page_no % 3 = 0 THEN substr(verbatim, 1, 7) ELSE verbatim END) AS v, raw_value AS r FROM clauses),
+tried AS (SELECT clause_id, CASE WHEN length(v) >= 8 AND v <> r THEN [v, r] WHEN v <> '' AND v <> r THEN [r, v] ELSE [r] END AS q FROM c)
+SELECT clause_id, generate_subscripts(q, 1)::BIGINT - 1 AS try_no, unnest(q) AS quote FROM tried"""
+ORACLES["no_type_warnings"] = """SELECT o_orderkey AS audit_id, 'BENCHMARK_NO_CONTRACT_TYPE' AS code, 'No contract type, comparison with market rates skipped' AS message, TRUE AS recoverable, 'BENCHMARKING' AS stage
+  FROM orders WHERE o_orderkey % 10 = 9"""
+ORACLES["rehydrated"] = """WITH k AS (SELECT *, doc_id % 5 >= 2 AS readable FROM documents)
+SELECT doc_id AS audit_id, CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 ELSE 0 END AS total_redacted, CASE WHEN doc_id % 2 = 0 THEN doc_id % 7 ELSE -1 END AS n_email,
+  CASE WHEN readable THEN len(string_split(text, chr(10))) ELSE 0 END::BIGINT AS n_pages, CASE WHEN readable THEN length(replace(text, chr(10), '')) ELSE 0 END::BIGINT AS page_chars,
+  md5(CASE WHEN doc_id % 3 <> 1 THEN text ELSE '' END) AS digest FROM k"""
+
 # --- progress events --------------------------------------------------------------------------------------
 
 EVENTS = """ev AS (SELECT user_id AS audit_id, event_id AS seq, ts, CASE event_type WHEN 'click' THEN 'clause_found' WHEN 'view' THEN 'issue_flagged' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'error' ELSE 'status_change' END AS type,
