@@ -116,26 +116,29 @@ def _due(at: Column, schedules: tuple) -> Column:
     return out
 
 
-def training_order(mixed: DataFrame, schedules: tuple = SCHEDULES) -> DataFrame:
-    """A row per copy that is trained on (``copy`` from 0, ``words`` taken of it), range-sorted by ``position``."""
+def training_order(mixed: DataFrame, schedules: tuple = SCHEDULES, whole: bool = False) -> DataFrame:
+    """A row per copy that is trained on (``copy`` from 0, ``words`` taken of it), range-sorted by ``position``.
+
+    The last copy of a source is usually taken in part. With ``whole`` it is taken whole where that is at least as near to
+    the target as leaving it out, or where the source would have no row at all; otherwise it is left out.
+    """
     copies = mixed.filter(F.col("taken") > 0).withColumn("copy", F.explode(F.sequence(F.lit(0), F.expr("cast((taken - 1) div size as int)"))))
     start = F.col("at") + F.col("copy") * F.col("source_size")
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    placed = copies.withColumn("words", words).withColumn("position", _due(start, schedules))
+    placed = copies.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))).withColumn("position", _due(start, schedules))
+    if whole:
+        only = (F.col("at") == 0) & (F.col("copy") == 0)
+        placed = placed.filter((2 * F.col("words") >= F.col("size")) | only).withColumn("words", F.col("size"))
     return placed.drop("at", "quota", "source_rank").repartitionByRange("position", "doc_id", "copy").sortWithinPartitions("position", "doc_id", "copy")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, schedules: tuple = SCHEDULES, most: int = MOST) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row per copy, range-sorted by ``position``, with ``copy`` and ``words``.
 
-    Documents that the mix does not take are gone. A copy that is taken in part has its first ``words`` words only.
-    A new column whose name is taken gets underscores.
+    Documents that the mix does not take are gone; texts are never cut, so a source comes within half a document of its
+    target, or within one where it has a single row. A new column whose name is taken gets underscores.
     """
-    space = "\\x20\\x09-\\x0D"
-    ordered = training_order(mix(docs, weights, schedules, most, carried=True), schedules)
-    head = F.expr(f"regexp_extract(doc.text, concat('^[{space}]*+(?:[^{space}]++[{space}]++){{', words - 1, '}}+[^{space}]++'), 0)")
-    text = F.when(F.col("words") < F.col("size"), head).otherwise(F.col("doc.text"))
-    own = [text.alias(c) if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`") for c in docs.columns]
+    ordered = training_order(mix(docs, weights, schedules, most, carried=True), schedules, whole=True)
+    own = [F.col(f"doc.`{c}`") for c in docs.columns]
     new = []
     for name in ("position", "copy", "words"):
         alias = name

@@ -71,20 +71,36 @@ def test_due_time_inverts_the_integral(llm_spark):
         assert math.isclose(area, u * 1.0, abs_tol=1e-9)
 
 
-def test_mixed_documents_hold_what_is_taken(docs_of):
+def test_mixed_documents_are_whole_and_near_what_is_taken(docs_of):
     docs = docs_of(ROWS, clash=True)
     out = C.mixed_documents(docs)
     assert out.columns[: len(docs.columns)] == docs.columns and out.columns[len(docs.columns) :] == ["position_", "copy", "words_"]
     rows = out.collect()
-    assert all(len(r.text.split()) == r.words_ for r in rows)
-    taken = {}
+    given = {(r.doc_id, r.text) for r in docs.collect()}
+    assert all(len(r.text.split()) == r.words_ and (r.doc_id, r.text) in given for r in rows)
+    taken, sizes = {}, {}
     for r in C.mix(docs).collect():
-        taken[r.doc_id] = taken.get(r.doc_id, 0) + r.taken
-    for doc_id, words in taken.items():
-        assert sum(r.words_ for r in rows if r.doc_id == doc_id) == words
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        sizes.setdefault(r.source, []).append(r.size)
+    for source, words in taken.items():
+        assert abs(sum(r.words_ for r in rows if r.source == source) - words) <= max(sizes[source]) / 2
     assert [r.position_ for r in rows] == sorted(r.position_ for r in rows)
 
 
+def test_the_last_copy_goes_to_the_nearer_side(docs_of):
+    # targets of 6 and 13 words: 6 of 10 count as all, 3 more of 10 as none
+    docs = docs_of([(1, "x " * 10, "a"), (2, "y " * 10, "b")])
+    rows = sorted((r.doc_id, r.copy, r.words, r.text) for r in C.mixed_documents(docs).collect())
+    assert rows == [(1, 0, 10, "x " * 10), (2, 0, 10, "y " * 10)]
+
+
+def test_a_source_keeps_a_row(docs_of):
+    # 33 of the 100 words of the only document of "a"
+    docs = docs_of([(1, "x " * 100, "a"), (2, "y " * 50, "b"), (3, "z " * 50, "c")])
+    rows = sorted((r.doc_id, r.copy, r.words) for r in C.mixed_documents(docs).collect())
+    assert rows == [(1, 0, 100), (2, 0, 50), (3, 0, 50), (3, 1, 50)]
+
+
 def test_empty_table(docs_of):
     assert C.mix(docs_of([])).count() == 0
     assert C.mixed_documents(docs_of([])).count() == 0
