@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from clausewise.llm.decontaminate import bit_table, maybe
 from clausewise.llm.graph import components
-from clausewise.llm.textkit import free, lists, mixed, slices, text_shingles
+from clausewise.llm.textkit import free, lists, mixed, prepare, slices, text_shingles
 from clausewise.session import discard, materialise
 
 BAND_RATIO = 1.5
@@ -52,6 +52,7 @@ BLOCK_ELEMENTS = 1_000_000
 BLOCK_ROWS = 1024
 BUCKET_SIGNATURES = 250_000
 SLICE_BYTES = 2 << 20  # signatures take many times the memory of their text
+BATCH_BYTES = 4 << 20  # of Arrow rows: a batch holds the sets of both sides of its pairs
 PIECE = (1 << 21) - 1
 
 
@@ -485,7 +486,7 @@ def join(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """A row per row: ``doc_id, text_key, size, component, name``; ``component`` numbers the groups, ``name`` is its smallest doc_id."""
-    context = docs.sparkSession.sparkContext
+    context = prepare(docs.sparkSession, BATCH_BYTES).sparkContext
     given = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     own = ["size", "h1", "h2"]
     keyed = materialise(set_table(given, n))
@@ -498,9 +499,11 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     shared = materialise(shared_signatures(packed_signatures(given, n, percent, buckets)))
     known = context.broadcast((bit_table(shared), clash))
     members = materialise(signature_rows(given, n, percent, known).join(shared, "seed", "left_semi"))
+    known.unpersist()
     sized = materialise(members.select("cid", "size").distinct())
     sought = context.broadcast((bit_table(sized.select(F.col("cid").alias("seed"))), clash))
     sets = materialise(wanted_sets(given, n, sought).join(sized.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
+    sought.unpersist()
 
     # one hub per class: of the members of its groups the one that shares most signatures
     hubs = members.groupBy("seed").agg(F.max(F.struct("weight", "cid")).alias("hub"))

@@ -17,9 +17,9 @@ from pyspark.sql import SparkSession
 SLICE_BYTES = 6 << 20
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Small Arrow batches: rows may hold very long texts, and a task keeps a few batches in memory."""
-    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+def prepare(spark: SparkSession, batch_bytes: int = 16 << 20) -> SparkSession:
+    """Small Arrow batches: rows may hold very long texts, and a task keeps a few batches in memory, on both sides of the pipe."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))):
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
