@@ -708,6 +708,58 @@ def tiered_verify(s, d):
     return v.select("audit_id", "clause_id", "verified", "match_tier", _long("page_no"), maths.half_up(F.col("confidence"), 6).alias("confidence"))
 
 
+STRANGE = "\u00a4"  # a character of no sample text
+
+
+def _last_parts(s, d) -> DataFrame:
+    """A passage of the last page with text of every document, cut from its normalised text: ``audit_id, page_no, part``."""
+    p = _pages(s, d).select("audit_id", "page_no", text.normalise(F.col("text")).alias("norm")).filter("norm <> ''")
+    return p.select("audit_id", "page_no", F.trim(F.when(F.length("norm") > 50, F.substring("norm", 11, 30)).otherwise(F.substring("norm", 1, 30))).alias("part")).filter("part <> ''").groupBy("audit_id").agg(
+        F.max("page_no").alias("page_no"), F.max_by("part", "page_no").alias("part")
+    )
+
+
+def _interrupted(part: Column) -> Column:
+    """The passage with a strange character in it. Only the passage itself can be its best window: every other one leaves
+    out more of it, holds something else or has another order. It stands past the prefix that the similarity favours."""
+    place = F.when(F.length(part) > 8, 6).otherwise(F.length(part))
+    return F.concat(part.substr(F.lit(1), place), F.lit(STRANGE), part.substr(place + 1, F.length(part)))
+
+
+@query
+def fuzzy_known(s, d):
+    """A damaged passage of every document, looked for in all its pages."""
+    got = cite.anchor_fuzzy(_last_parts(s, d).select("audit_id", _interrupted(F.col("part")).alias("quote")), _pages(s, d))
+    return got.select("audit_id", "q", _long("page_no"), _long("norm_start"), _long("norm_end"), maths.half_up(F.col("similarity"), 6).alias("similarity"))
+
+
+def _known_clauses(s, d) -> DataFrame:
+    """Four clauses of every document: a true passage, a damaged one, one that is nowhere, and one that is nowhere but has an offer."""
+    nowhere = F.lit(STRANGE * 9)
+    of = F.concat_ws("_", F.col("audit_id").cast("string"), F.col("page_no").cast("string"), F.col("pos").cast("string"))
+    made = _last_parts(s, d).select(
+        "audit_id", "page_no", "part", F.posexplode(F.array(F.col("part"), _interrupted(F.col("part")), nowhere, nowhere)).alias("pos", "verbatim")
+    )
+    return made.select("audit_id", "page_no", of.alias("clause_id"), "verbatim", F.lit(None).cast("string").alias("raw_value"), F.lit("passage").alias("label"), F.lit(0.9).alias("confidence"), "part", "pos")
+
+
+@query
+def tiers_known(s, d):
+    """The tier, page and confidence of four clauses of every document; an offered passage is looked up on the cited page."""
+    c = materialise(_known_clauses(s, d))
+    offered = c.filter("pos = 3").select("audit_id", "clause_id", F.col("part").alias("quote"))
+    v = cite.verify(c.drop("part", "pos"), _pages(s, d), offered)
+    return v.select("audit_id", "clause_id", "verified", "match_tier", _long("page_no"), maths.half_up(F.col("confidence"), 6).alias("confidence"))
+
+
+@query
+def phantom_report(s, d):
+    """Flags per document over four clauses of each: those that are nowhere, and the numbers their passages do not state."""
+    c = materialise(_known_clauses(s, d).withColumn("numeric_value", F.when(F.col("pos") == 2, F.lit(7.0))))
+    r = checks.report(checks.all_flags(c.drop("part", "pos"), _pages(s, d)))
+    return r.select("audit_id", *[_long(x) for x in ("total_flags", "n_flagged_clauses", "phantom_clause", "numeric_drift")])
+
+
 @query
 def levenshtein(s, d):
     sold = sample_tables.table(s, d, "lineitem").select("l_partkey", "l_suppkey").distinct()

@@ -365,6 +365,18 @@ ORACLES["anchor_boxes"] = _with(PAGES) + """, ws AS (SELECT audit_id, page_no, l
 placed AS (SELECT *, coalesce(list_sum(list_transform(w[1:i - 1], lambda x: length(x) + 1)), 0)::BIGINT AS off FROM ws WHERE w[i] <> ''),
 hit AS (SELECT audit_id, page_no, min(off / n) AS x0, max((off + length(w[i])) / n) AS x1 FROM placed WHERE off < 40 AND off + length(w[i]) > 10 GROUP BY 1, 2)
 SELECT audit_id, page_no, x0 IS NULL AS full_page, floor(coalesce(x0, 0) * 1000000 + 0.5) / 1000000 AS x0, floor(coalesce(x1, 1) * 1000000 + 0.5) / 1000000 AS x1 FROM page_rows LEFT JOIN hit USING (audit_id, page_no)"""
+# Answers known by construction: the best window of a passage with one strange character in it is the passage itself.
+PARTS = f"""page_norm AS (SELECT *, {_norm('text')} AS t FROM page_rows),
+cuts AS (SELECT audit_id, page_no, trim(CASE WHEN length(t) > 50 THEN substr(t, 11, 30) ELSE substr(t, 1, 30) END) AS part FROM page_norm WHERE t <> ''),
+parts AS (SELECT audit_id, max(page_no) AS page_no, max_by(part, page_no) AS part FROM cuts WHERE part <> '' GROUP BY 1),
+firsts AS (SELECT w.audit_id, part, min(page_no) AS page_no FROM (SELECT DISTINCT audit_id, part FROM parts WHERE part <> '') w JOIN page_norm p ON w.audit_id = p.audit_id AND contains(t, part) GROUP BY 1, 2)"""
+ORACLES["fuzzy_known"] = _with(PAGES, PARTS) + """, j AS (SELECT f.*, strpos(t, part) - 1 AS norm_start, length(part) AS n, (length(part) / (length(part) + 1.0)::DOUBLE + 2) / 3 AS jaro FROM firsts f JOIN page_norm p ON f.audit_id = p.audit_id AND f.page_no = p.page_no)
+SELECT audit_id, md5(CASE WHEN n > 8 THEN substr(part, 1, 6) || '\u00a4' || substr(part, 7) ELSE part || '\u00a4' END) AS q, page_no, norm_start, norm_start + n AS norm_end,
+  floor((jaro + least(4, n) * 0.1::DOUBLE * (1 - jaro)) * 1000000 + 0.5) / 1000000 AS similarity FROM j"""
+ORACLES["tiers_known"] = _with(PAGES, PARTS) + """, c AS (SELECT p.audit_id, p.page_no AS cited, f.page_no AS found, unnest(range(4)) AS pos FROM parts p JOIN firsts f ON p.audit_id = f.audit_id AND p.part = f.part)
+SELECT audit_id, audit_id || '_' || cited || '_' || pos AS clause_id, pos <> 2 AS verified, ['exact', 'fuzzy', 'unverified', 'reextracted'][pos + 1] AS match_tier,
+  CASE WHEN pos < 2 THEN found ELSE cited END AS page_no, [0.9, 0.81, 0.36, 0.63][pos + 1]::DOUBLE AS confidence FROM c"""
+ORACLES["phantom_report"] = _with(PAGES, PARTS) + "SELECT audit_id, 3 * count(*) AS total_flags, 2 * count(*) AS n_flagged_clauses, 2 * count(*) AS phantom_clause, count(*) AS numeric_drift FROM parts WHERE part <> '' GROUP BY 1"
 ORACLES["levenshtein"] = "SELECT DISTINCT l_partkey, l_suppkey, levenshtein(p_name, s_name) AS distance FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"
 
 # --- model replies and rules ------------------------------------------------------------------------------
