@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -177,17 +178,15 @@ class UntilTerminal(StatefulProcessor):
         self.closed = handle.getValueState("closed", "closed boolean", ttlDurationMs=self.linger * 1000 if self.linger else None)
         self.open(handle)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batches = list(rows)
-        if self.closed.exists() or not batches:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        given = list(rows)
+        if not given or self.closed.exists():
             return
-        given = pd.concat(batches)
-        ended = bool(given["terminal"].any())
-        out = self.update(given, ended)
+        ended = any(r.terminal for r in given)
+        out = self.update(key[0], given, ended)
         if ended:
             self.closed.update((True,))
-        if len(out):
-            yield out.assign(audit_id=key[0])[["audit_id", *out.columns]]
+        yield from out
 
     def close(self) -> None:
         pass
@@ -203,16 +202,14 @@ class LastEvents(UntilTerminal):
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.events = handle.getListState("events", "seq bigint, type string, status string, progress int")
 
-    def update(self, given: pd.DataFrame, ended: bool) -> pd.DataFrame:
-        columns = ["seq", "type", "status", "progress"]
-        old = pd.DataFrame([tuple(r) for r in self.events.get()], columns=columns)
-        every = pd.concat([old, given[columns]]) if len(old) else given[columns]
-        kept = every.sort_values("seq", kind="stable").tail(self.keep).astype({"progress": "Int32"})
-        if ended:
-            self.events.clear()
+    def update(self, audit_id, given: list[Row], ended: bool) -> list[Row]:
+        fresh = [(r.seq, r.type, r.status, r.progress) for r in given]
+        kept = sorted([*self.events.get(), *fresh], key=itemgetter(0))[-self.keep :]
+        if not ended:
+            self.events.put(kept)
         else:
-            self.events.put([(int(q), t, s, None if pd.isna(p) else int(p)) for q, t, s, p in kept.itertuples(index=False)])
-        return kept.assign(closed=ended)
+            self.events.clear()
+        return [Row(audit_id=audit_id, seq=q, type=t, status=s, progress=p, closed=ended) for q, t, s, p in kept]
 
 
 def _marked(events: DataFrame) -> DataFrame:
@@ -225,7 +222,7 @@ def stream_history(events: DataFrame, keep: int = HISTORY_EVENTS, linger_seconds
     The state holds the events of open audits only; the batch with the terminal event gives the last rows of an audit.
     """
     prepared = _marked(events).select("audit_id", "seq", "type", "status", F.col("progress").cast("int").alias("progress"), "terminal")
-    return prepared.groupBy("audit_id").transformWithStateInPandas(
+    return prepared.groupBy("audit_id").transformWithState(
         statefulProcessor=LastEvents(keep, linger_seconds), outputStructType="audit_id bigint, seq bigint, type string, status string, progress int, closed boolean",
         outputMode="Update", timeMode="ProcessingTime" if linger_seconds else "None",
     )
@@ -267,24 +264,24 @@ class LatestProgress(UntilTerminal):
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "seq bigint, progress int")
 
-    def update(self, given: pd.DataFrame, ended: bool) -> pd.DataFrame:
-        best = self.last.get() if self.last.exists() else None
-        changes = given[given["type"] == "status_change"]
-        if len(changes):
-            top = changes.loc[changes["seq"] == changes["seq"].max()].iloc[0]
-            if best is None or top["seq"] > best[0]:
-                best = (int(top["seq"]), int(top["progress"]))
+    def update(self, audit_id, given: list[Row], ended: bool) -> list[Row]:
+        best = self.last.get()
+        changes = [(r.seq, r.progress) for r in given if r.type == "status_change"]
+        if changes:
+            top = max(changes, key=itemgetter(0))
+            if best is None or top[0] > best[0]:
+                best = top
         if ended:
             self.last.clear()
         elif best is not None:
             self.last.update(tuple(best))
-        return pd.DataFrame({"progress": [best[1]] if best is not None else []}, dtype="int32")
+        return [Row(audit_id=audit_id, progress=best[1])] if best is not None else []
 
 
 def stream_latest_progress(events: DataFrame, linger_seconds: int | None = None) -> DataFrame:
     """Streaming form of ``latest_progress`` (update mode); the state holds open audits only."""
     prepared = _marked(events).filter("terminal or (type = 'status_change' and progress is not null)").select("audit_id", "seq", "type", F.col("progress").cast("int").alias("progress"), "terminal")
-    return prepared.groupBy("audit_id").transformWithStateInPandas(
+    return prepared.groupBy("audit_id").transformWithState(
         statefulProcessor=LatestProgress(linger_seconds), outputStructType="audit_id bigint, progress int", outputMode="Update",
         timeMode="ProcessingTime" if linger_seconds else "None",
     )

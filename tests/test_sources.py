@@ -190,3 +190,40 @@ def test_newest_status_holds(spark, tmp_path):
     assert got["clauses"].count() == got["issues"].count() == got["links"].count() == 2
     results.save_results({"audits": audits((1, "COMPLETE")), **rest}, base)
     assert spark.read.parquet(f"{base}/audits").count() == 3
+
+
+def test_state_is_kept_from_plain_rows():
+    from pyspark.sql import Row
+
+    class State:
+        def __init__(self):
+            self.held = []
+
+        def exists(self):
+            return bool(self.held)
+
+        def get(self):
+            return iter(self.held)
+
+        def put(self, rows):
+            self.held = list(rows)
+
+        def update(self, row):
+            self.held = [row]
+
+        def clear(self):
+            self.held = []
+
+    class Handle:
+        def getValueState(self, *args, **kw):
+            return State()
+
+        getListState = getValueState
+
+    kept = events.LastEvents(2)
+    kept.init(Handle())
+    given = [Row(audit_id=7, seq=q, type="status_change", status="EXTRACTING", progress=None, terminal=q == 9) for q in (3, 1, 2, 9)]
+    assert [(r.audit_id, r.seq, r.closed) for r in kept.handleInputRows((7,), iter(given[:2]), None)] == [(7, 1, False), (7, 3, False)]
+    assert [r.seq for r in kept.handleInputRows((7,), iter(given[2:3]), None)] == [2, 3] and len(kept.events.held) == 2
+    assert [(r.seq, r.closed) for r in kept.handleInputRows((7,), iter(given[3:]), None)] == [(3, True), (9, True)] and not kept.events.held
+    assert list(kept.handleInputRows((7,), iter(given[:1]), None)) == []
