@@ -227,3 +227,17 @@ def test_state_is_kept_from_plain_rows():
     assert [r.seq for r in kept.handleInputRows((7,), iter(given[2:3]), None)] == [2, 3] and len(kept.events.held) == 2
     assert [(r.seq, r.closed) for r in kept.handleInputRows((7,), iter(given[3:]), None)] == [(3, True), (9, True)] and not kept.events.held
     assert list(kept.handleInputRows((7,), iter(given[:1]), None)) == []
+
+
+def test_running_sums_and_marked_words(spark):
+    from pyspark.sql import functions as F
+
+    from clausewise.functions import spans
+
+    df = spark.createDataFrame([([],), ([4],), (list(range(300)),)], "n array<int>")
+    got = {len(r.n): r.s for r in df.select("n", spans.running(F.col("n")).alias("s")).collect()}
+    assert got == {k: [sum(range(i)) if k > 1 else 0 for i in range(k)] for k in (0, 1, 300)}
+    texts = ["a\u0001b  c\u0001", " one two"]
+    pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "audit_id long, page_no int, text string")
+    words = {r.page_no: [(w.word, w.off) for w in r.words] for r in page_text.with_words(pages).collect()}
+    assert words == {0: [("a\u0001b", 0), ("c\u0001", 5)], 1: [("one", 1), ("two", 5)]}
