@@ -22,6 +22,12 @@ def worst_issues(issues: DataFrame, links: DataFrame) -> DataFrame:
     return best.select("clause_id", "w.*")
 
 
+def worst_ranks(issues: DataFrame, links: DataFrame) -> DataFrame:
+    """The highest severity rank of every clause that has an issue: ``worst_issues`` without the texts, counted in hash tables."""
+    ranked = links.select("issue_id", "clause_id").join(issues.select("issue_id", "severity_rank"), "issue_id")
+    return ranked.groupBy("clause_id").agg(F.max("severity_rank").alias("severity_rank"))
+
+
 def category_rollup(clauses: DataFrame, worst: DataFrame) -> DataFrame:
     """Clauses of an audit by category: count, highest severity, whether the group opens by itself, display name."""
     joined = clauses.select("audit_id", "clause_id", "category").join(worst.select("clause_id", "severity_rank"), "clause_id", "left")

@@ -31,3 +31,8 @@ def test_clauses_are_read_once(spark, monkeypatch, name):
     except Exception as e:  # the tables that save_results would have written are absent
         assert name == "stored_results" and "PATH_NOT_FOUND" in str(e)
     assert len(read) == 1
+
+
+def test_rollup_moves_no_texts(spark):
+    plan = catalog.QUERIES["category_rollup"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "max_by" not in plan and "title" not in plan
