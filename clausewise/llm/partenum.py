@@ -19,11 +19,13 @@ From signatures to components without listing the pairs of a group:
 * Every class is compared with one hub, the member of its groups that shares most signatures. That settles the bulk of a
   large group of near copies.
 * What is left are groups whose members lie in different components. A link between components is always inside such a
-  group. In ``HUB_ROUNDS`` every open member meets a hub of another component, so that mutual near copies grow together;
+  group, and what its two sets share is held by open members of different components: a member with too few such elements
+  has no link there and goes (``reaching``), as most sets do that only share a passage. In ``HUB_ROUNDS`` every open member meets a hub of another component, so that mutual near copies grow together;
   then groups of at most ``FEW_MEMBERS`` open members give their pairs, each pair once and only where components differ
   and sizes can match; bit maps that can only err on the safe side sift them before whole sets are joined. Larger groups
   compare their bit maps in blocks of bounded size, skipping blocks whose sizes cannot match or whose members are
-  connected already.
+  connected already; a large component has blocks of its own. At first each member meets only the one that is nearest by its
+  map, so that mutual near copies grow together before all pairs are asked for.
 
 Every similarity is computed exactly on 64-bit hashes of n-grams. Null and empty texts have no set and stay alone; a
 text of fewer than n words is one sequence. Documents of equal doc_id count as one document with several texts; a null
@@ -47,6 +49,7 @@ from clausewise.session import discard, materialise
 BAND_RATIO = 1.5
 FEW_PARTS = 64
 FEW_MEMBERS = 32
+MANY_TIMES = 8  # groups of more than so many times few members look for the nearest ones first
 HUB_ROUNDS = 3
 BLOCK_ELEMENTS = 1_000_000
 BLOCK_ROWS = 1024
@@ -355,16 +358,28 @@ def folded(maps: list[np.ndarray], width: int) -> np.ndarray:
     return np.stack([np.bitwise_or.reduce(m.reshape(-1, width)) for m in maps])
 
 
-def block_pairs(one: tuple, two: tuple, percent: int):
-    """(a, b) arrays of members of different components that the bit maps do not rule out; a side is (ids, components, sizes, maps)."""
+def block_pairs(one: tuple, two: tuple, percent: int, nearest: bool = False):
+    """(a, b, share) arrays of members of different components that the bit maps do not rule out; a side is (ids, components, sizes, maps).
+
+    ``share`` is the most that the similarity can be. With ``nearest`` each member of both sides comes once, with one of largest share.
+    """
     width = min(len(m) for side in (one, two) for m in side[3])
     left, right = folded(one[3], width), folded(two[3], width)
+    top, partner = np.zeros(len(right)), np.zeros(len(right), np.int64)
     for i in range(len(left)):
         lost, extra = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (left[i] & ~right, right & ~left[i]))
         both = np.minimum(one[2][i] - lost, two[2] - extra)
         good = (100 * both >= percent * (one[2][i] + two[2] - both)) & (two[1] != one[1][i])
-        if good.any():
-            yield np.full(int(good.sum()), one[0][i]), two[0][good]
+        if not good.any():
+            continue
+        share = np.where(good, both / np.maximum(one[2][i] + two[2] - both, 1), 0.0)
+        if nearest:
+            ahead = share > top
+            top[ahead], partner[ahead] = share[ahead], one[0][i]
+            good = np.arange(len(right)) == share.argmax()
+        yield np.full(int(good.sum()), one[0][i]), two[0][good], share[good]
+    if nearest and (top > 0).any():
+        yield two[0][top > 0], partner[top > 0], top[top > 0]
 
 
 def open_groups(members: DataFrame, settled: DataFrame) -> DataFrame:
@@ -376,6 +391,32 @@ def open_groups(members: DataFrame, settled: DataFrame) -> DataFrame:
     return out
 
 
+def reaching(rows: DataFrame, sets: DataFrame, percent: int, of: int = 1) -> DataFrame:
+    """The ``rows`` of open members that may have a link to another component.
+
+    Similar sets of two components share at least ``percent`` of either one's elements, each of which open members of different
+    components hold. Looking at one in ``of`` elements only, or at a bit table, may take more elements for such, never fewer.
+    """
+    context = rows.sparkSession.sparkContext
+    held = rows.select("cid", "component").distinct().join(sets.select("cid", "elements"), "cid").select("component", F.explode("elements").alias("seed"))
+    ends = held.filter(F.col("seed") % of == 0).groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two"))
+    across = context.broadcast(bit_table(ends.filter(F.col("one") != F.col("two"))))
+
+    def run(batches):
+        for batch in batches:
+            elements = batch.column("elements")
+            flat, size = elements.flatten().to_numpy(), np.diff(elements.offsets.to_numpy())
+            sums = np.concatenate(([0], np.cumsum(maybe(across.value, flat.astype(np.uint64)) | (flat % of != 0))))
+            last = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([batch.column("cid").filter(pa.array(100 * (sums[last] - sums[last - size]) >= percent * size))], ["cid"])
+
+    able = materialise(sets.select("cid", "elements").mapInArrow(run, "cid long"))
+    out = materialise(rows.join(able, "cid", "left_semi"))
+    across.unpersist()
+    discard(able)
+    return out
+
+
 def could_match(x: str, y: str, percent: int) -> Column:
     """Whether sets of these sizes can be similar."""
     return (F.col(x) * percent <= F.col(y) * 100) & (F.col(y) * percent <= F.col(x) * 100)
@@ -412,17 +453,20 @@ def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _blocks(members: DataFrame, sets: DataFrame, percent: int, nearest: bool = False) -> DataFrame:
     """``a, b``: pairs inside large groups, ``members(seed, cid, component, size)``, that lie in different components and
-    that the bit maps do not rule out: chunks of like sizes, chunk against chunk; only the maps are shuffled."""
+    that the bit maps do not rule out: chunks of like sizes, chunk against chunk; only the maps are shuffled. A component that
+    fills a chunk has chunks of its own, which do not meet one another. With ``nearest`` each ``a`` comes once, with its nearest."""
     # groups of the same members, as the many signatures of near copies make them, are one
     whole = members.groupBy("seed").agg(F.sum(F.xxhash64("cid").cast("decimal(38,0)")).alias("sum"), F.min("cid").alias("low"), F.max("cid").alias("high"), F.count("*").alias("n"))
     kept = materialise(whole.groupBy("sum", "low", "high", "n").agg(F.min("seed").alias("seed")).select("seed"))
     banded = members.join(kept, "seed", "left_semi").withColumn("band", F.floor(F.log("size") * 10))
     weight = F.greatest(F.col("size"), F.lit(BLOCK_ELEMENTS // BLOCK_ROWS))
-    parts = materialise(banded.groupBy("seed", "band").agg(F.ceil(F.sum(weight) / BLOCK_ELEMENTS).alias("parts")))
-    slot = F.pmod(F.xxhash64("cid"), F.col("parts"))
-    chunked = materialise(banded.join(parts, ["seed", "band"]).select("seed", "cid", "component", "size", (F.col("band") * (1 << 40) + slot).alias("chunk")))
+    parts = materialise(banded.groupBy("seed", "band", "component").agg(F.ceil(F.sum(weight) / BLOCK_ELEMENTS).alias("parts"), F.sum(weight).alias("sum")))
+    together = materialise(parts.groupBy("seed", "band").agg(F.ceil(F.sum(F.when(F.col("parts") == 1, F.col("sum"))) / BLOCK_ELEMENTS).alias("shared")))
+    slot = F.when(F.col("parts") > 1, F.xxhash64("band", "component", F.pmod(F.xxhash64("cid"), "parts"))).otherwise(F.xxhash64("band", F.pmod(F.xxhash64("component"), "shared")))
+    dealt = banded.join(parts.drop("sum"), ["seed", "band", "component"]).join(together, ["seed", "band"])
+    chunked = materialise(dealt.select("seed", "cid", "component", "size", slot.alias("chunk")))
     about = materialise(
         chunked.groupBy("seed", "chunk").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.min("component").alias("one"), F.max("component").alias("two"))
     )
@@ -444,32 +488,52 @@ def _blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             mine = np.flatnonzero(chunk == c)
             sides.append((ids[mine], comps[mine], sizes[mine], [np.frombuffer(maps[i], np.uint64) for i in mine]))
         one_sided = group["i"][0].as_py() == group["j"][0].as_py()
-        found = list(block_pairs(sides[0], sides[-1], percent)) if one_sided or len(sides) == 2 else []
+        found = list(block_pairs(sides[0], sides[-1], percent, nearest)) if one_sided or len(sides) == 2 else []
         a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        share = np.concatenate([f[2] for f in found] or [np.zeros(0)])
+        one, two = (a, b) if nearest else (np.minimum(a, b), np.maximum(a, b))
+        return pa.table([pa.array(one), pa.array(two), pa.array(share)], names=["a", "b", "share"])
 
-    return rows.groupBy("seed", "i", "j").applyInArrow(work, "a long, b long").distinct()
+    found = rows.groupBy("seed", "i", "j").applyInArrow(work, "a long, b long, share double")
+    if nearest:
+        return found.groupBy("a").agg(F.max(F.struct("share", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    return found.select("a", "b").distinct()
 
 
 def all_links(members: DataFrame, starred: DataFrame, sets: DataFrame, percent: int, few: int) -> DataFrame:
     """``a, b``: links that connect what all links connect, beginning with the ``starred`` ones.
 
-    Linked sets share a signature, so a link between components lies inside a group that both of them touch. In each of
-    ``HUB_ROUNDS`` every open member meets one hub of another component, which contracts groups of mutual near copies.
-    Then groups of at most ``few`` open members give their pairs, and larger ones are compared in blocks.
+    Linked sets share a signature, so a link between components lies inside a group that both of them touch, and between
+    members that reach other components. In each of ``HUB_ROUNDS`` every open member meets one hub of another component, which
+    contracts groups of mutual near copies. Then groups of at most ``few`` open members give their pairs, and larger ones are
+    compared in blocks, nearest members first.
     """
     links = starred
+    rows = open_groups(members, components(links))
+    for of in (2, 1):  # half of the elements rule most out; what only those held that are gone no longer counts
+        rows = reaching(rows, sets, percent, of)
     for turn in range(HUB_ROUNDS):
-        rows = open_groups(members, components(links))
+        if turn:
+            rows = open_groups(rows.drop("component"), components(links))
         met = materialise(sifted(_hub_pairs(rows, turn), sets, percent))
         links = links.unionByName(materialise(verified(_with_sets(met, sets), percent)))
-        discard(rows, met)
-    rows = open_groups(members, components(links))
+        discard(met)
+    rows = reaching(open_groups(rows.drop("component"), components(links)), sets, percent)
     sizes = materialise(rows.groupBy("seed").agg(F.count("*").alias("n")))
     small = rows.join(sizes.filter(F.col("n") <= few).select("seed"), "seed", "left_semi")
     large = materialise(rows.join(sizes.filter(F.col("n") > few).select("seed"), "seed", "left_semi"))
     paired = materialise(sifted(_group_pairs(small, percent), sets, percent))
     links = links.unionByName(materialise(verified(_with_sets(paired, sets), percent)))
+    for _ in range(HUB_ROUNDS):
+        many = large.join(sizes.filter(F.col("n") > few * MANY_TIMES).select("seed"), "seed", "left_semi")
+        met = materialise(_blocks(many, sets, percent, nearest=True)) if not many.isEmpty() else None
+        new = met and materialise(verified(_with_sets(met, sets), percent))
+        if new is None or new.isEmpty():
+            break
+        links = links.unionByName(new)
+        large = open_groups(large.drop("component"), components(links))
+    if large.isEmpty():
+        return links
     blocked = materialise(_blocks(large, sets, percent))
     return links.unionByName(materialise(verified(_with_sets(blocked, sets), percent)))
 

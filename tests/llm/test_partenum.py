@@ -139,3 +139,53 @@ def test_sets_of_more_parts_than_have_stand_ins_share_a_signature():
             if P.similar(a, b, 80):
                 row, sig = P.signatures([a, b], 80)
                 assert set(sig[row == 0].tolist()) & set(sig[row == 1].tolist())
+
+
+def passages(seed=8, docs=60):
+    """Texts that share one passage and little else, some near copies of one another, and mutual near copies without a centre."""
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for i in range(docs):
+        own = [rng.choice(vocabulary) for _ in range(60)]
+        rows.append((2 * i, " ".join(passage + own)))
+        if i % 10 == 0:
+            rows.append((2 * i + 1, " ".join(passage + own[:-2])))
+    chain = [rng.choice(vocabulary) for _ in range(150)]
+    for i in range(40):
+        chain[rng.randrange(150)] = f"new{i}"
+        rows.append((1000 + i, " ".join(chain)))
+    return rows
+
+
+def test_sets_that_only_share_a_passage_are_not_compared(docs_of, monkeypatch):
+    """Their pairs grew with the square of the number of texts; what an open member holds alone rules it out before."""
+    asked = []
+    sifted = P.sifted
+    monkeypatch.setattr(P, "sifted", lambda pairs, *rest: (asked.append(pairs.count()), sifted(pairs, *rest))[1])
+    rows = [r for r in passages() if r[0] < 1000]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in P.join(docs_of(rows), 3, 80).collect())
+    assert got == brute(rows, 3, 80)[0]
+    assert sum(asked) < 60
+
+
+def test_nearest_members_first_gives_the_same(docs_of, monkeypatch):
+    """Blocks of large groups: nearest members first, a component that fills a chunk in chunks of its own."""
+    for name, value in (("FEW_MEMBERS", 1), ("MANY_TIMES", 1), ("BLOCK_ELEMENTS", 2000), ("BLOCK_ROWS", 20)):
+        monkeypatch.setattr(P, name, value)
+    rows = passages(3) + [(2000 + (d or 0), t) for d, t in near_copies(2)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in P.join(docs_of(rows), 3, 90).collect())
+    assert got == brute(rows, 3, 90)[0]
+
+
+def test_nearest_comes_once_for_each_member():
+    rng = np.random.default_rng(1)
+    base = np.unique(rng.integers(0, 1 << 63, 200, dtype=np.uint64))
+    sets = [np.unique(np.concatenate((base[i:], rng.integers(0, 1 << 63, 2, dtype=np.uint64)))) for i in range(12)]
+    ids = np.arange(12)
+    side = (ids, ids, np.array([len(s) for s in sets]), [P.bit_map(s) for s in sets])
+    pairs = [np.concatenate(x) for x in zip(*P.block_pairs(side, side, 80, nearest=True), strict=True)]
+    assert len(pairs[0]) <= 24 and set(pairs[0]) == set(range(12))
+    every = [np.concatenate(x) for x in zip(*P.block_pairs(side, side, 80), strict=True)]
+    assert {(a, b) for a, b in zip(*pairs[:2], strict=True)} <= {(a, b) for a, b in zip(*every[:2], strict=True)}
