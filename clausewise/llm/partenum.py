@@ -85,10 +85,13 @@ def scheme(k: int) -> tuple[int, int, int]:
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     """Two 64-bit hashes of each set."""
     out = np.zeros((len(sets), 2), np.uint64)
-    for i, s in enumerate(sets):
-        if len(s):
-            m = mixed(s + np.uint64(3))
-            out[i] = mixed(np.array([m.sum(), mixed(m + np.uint64(5)).sum()], np.uint64) + np.uint64(len(s)))
+    size = np.array([len(s) for s in sets], np.int64)
+    some = np.flatnonzero(size)
+    if len(some):
+        m = mixed(np.concatenate([sets[i] for i in some]) + np.uint64(3))
+        begin = np.cumsum(size[some]) - size[some]
+        sums = np.stack([np.add.reduceat(x, begin) for x in (m, mixed(m + np.uint64(5)))], 1)
+        out[some] = mixed(sums + size[some][:, None].astype(np.uint64))
     return out
 
 

@@ -70,6 +70,31 @@ def hashes(distinct: pa.Array) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))
 
 
+LONG_WORD = 64
+KEPT_BYTES = np.array([(1 << 8 * r) - 1 for r in range(9)], np.uint64)
+
+
+def word_hashes(flat: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every word (binary), eight bytes of all words at a time; words above ``LONG_WORD`` bytes one by one."""
+    if not len(flat):
+        return np.zeros(0, np.uint64)
+    _, offsets, data = flat.buffers()
+    ends = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1].astype(np.int64)
+    begin, size = ends[:-1], np.diff(ends)
+    padded = np.concatenate((np.frombuffer(data, np.uint8)[: ends[-1]], np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))  # the eight bytes from every place on
+    out = mixed(size.astype(np.uint64) + np.uint64(17))
+    live = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        out[live] = mixed(out[live] ^ (eight[begin[live] + at] & KEPT_BYTES[np.minimum(size[live] - at, 8)]))
+    for i in np.flatnonzero(size > LONG_WORD):
+        out[i] = xxhash.xxh64_intdigest(flat[i].as_py())
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
@@ -90,7 +115,8 @@ def shingle_sets(h: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]
     every, out = sequences(h, n), []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
         if b - a >= n:
-            out.append(np.unique(every[a : b - n + 1]))
+            found = np.sort(every[a : b - n + 1])
+            out.append(found[np.concatenate(([True], found[1:] != found[:-1]))])
         else:
             out.append(sequences(h[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64))
     return out
@@ -98,8 +124,7 @@ def shingle_sets(h: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarray]
 
 def text_shingles(texts: pa.Array, n: int) -> list[np.ndarray]:
     flat, offsets = words(texts)
-    codes, distinct = coded(flat)
-    return shingle_sets(hashes(distinct)[codes], offsets, n)
+    return shingle_sets(word_hashes(flat), offsets, n)
 
 
 def lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:

@@ -189,3 +189,26 @@ def test_nearest_comes_once_for_each_member():
     assert len(pairs[0]) <= 24 and set(pairs[0]) == set(range(12))
     every = [np.concatenate(x) for x in zip(*P.block_pairs(side, side, 80), strict=True)]
     assert {(a, b) for a, b in zip(*pairs[:2], strict=True)} <= {(a, b) for a, b in zip(*every[:2], strict=True)}
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Only words above ``LONG_WORD`` bytes are hashed one by one; a hash follows from a word's bytes alone."""
+    rng = random.Random(3)
+    long = "x" * (K.LONG_WORD + 1)
+    texts = [" ".join("".join(rng.choice("abcdé") for _ in range(rng.randint(1, 40))) for _ in range(300)) for _ in range(20)] + [None, "", f"{long} a {long}y", "a\x00 a"]
+    single = []
+    digest = K.xxhash.xxh64_intdigest
+    monkeypatch.setattr(K.xxhash, "xxh64_intdigest", lambda w: (single.append(w), digest(w))[1])
+    K.text_shingles(pa.array(texts, pa.string()), 3)
+    assert single == [long.encode(), f"{long}y".encode()]
+    flat, _ = K.words(pa.array(texts, pa.string()))
+    for at in (0, 7):  # a part of an array, too
+        words, h = flat.slice(at).to_pylist(), K.word_hashes(flat.slice(at)).tolist()
+        assert len(set(zip(words, h, strict=True))) == len(set(words)) == len(set(h))
+    assert K.word_hashes(pa.array([b"a"], pa.binary()))[0] == K.word_hashes(pa.array([b"b", b"a"], pa.binary()))[1]
+
+
+def test_set_keys_of_many_sets_are_those_of_each():
+    sets = [np.arange(k, dtype=np.uint64) * np.uint64(1 << 60) for k in (0, 1, 5, 0, 40)]
+    assert (P.set_keys(sets) == np.concatenate([P.set_keys([s]) for s in sets])).all()
+    assert not P.set_keys(sets)[0].any() and P.set_keys([]).shape == (0, 2)
