@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from clausewise.llm.decontaminate import bit_table, maybe
 from clausewise.llm.graph import components
-from clausewise.llm.textkit import free, lists, mixed, prepare, slices, text_shingles
+from clausewise.llm.textkit import free, give_back, lists, mixed, prepare, slices, text_shingles
 from clausewise.session import discard, materialise
 
 BAND_RATIO = 1.5
@@ -179,6 +179,7 @@ def set_table(docs: DataFrame, n: int) -> DataFrame:
                 [batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1])],
                 ["doc_id", "text_key", "size", "h1", "h2"],
             )
+        give_back()
 
     return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, "doc_id long, text_key long, size long, h1 long, h2 long")
 
@@ -237,6 +238,7 @@ def packed_signatures(docs: DataFrame, n: int, percent: int, buckets: int) -> Da
                     ],
                     ["bucket", "seeds", "marks"],
                 )
+        give_back()
 
     return docs.select("text").mapInArrow(run, "bucket long, seeds binary, marks binary")
 
@@ -288,6 +290,7 @@ def signature_rows(docs: DataFrame, n: int, percent: int, known) -> DataFrame:
             columns = [sig, class_ids(keys[new], clash)[row], size[new][row], weight[row]]
             for a in range(0, len(sig), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000].astype(np.int64)) for c in columns], ["seed", "cid", "size", "weight"])
+        give_back()
 
     return docs.select("text").mapInArrow(run, "seed long, cid long, size long, weight long")
 
@@ -310,6 +313,7 @@ def wanted_sets(docs: DataFrame, n: int, known) -> DataFrame:
                     [pa.array(cid[part].astype(np.int64)), lists([sets[i] for i in part], pa.int64()), pa.array([bit_map(sets[i]).tobytes() for i in part], pa.binary())],
                     ["cid", "elements", "bits"],
                 )
+        give_back()
 
     return docs.select("text").mapInArrow(run, "cid long, elements array<long>, bits binary")
 
@@ -404,6 +408,7 @@ def reaching(rows: DataFrame, sets: DataFrame, percent: int, of: int = 1) -> Dat
     held = rows.select("cid", "component").distinct().join(sets.select("cid", "elements"), "cid").select("component", F.explode("elements").alias("seed"))
     ends = held.filter(F.col("seed") % of == 0).groupBy("seed").agg(F.min("component").alias("one"), F.max("component").alias("two"))
     across = context.broadcast(bit_table(ends.filter(F.col("one") != F.col("two"))))
+    give_back()
 
     def run(batches):
         for batch in batches:
@@ -415,7 +420,7 @@ def reaching(rows: DataFrame, sets: DataFrame, percent: int, of: int = 1) -> Dat
 
     able = materialise(sets.select("cid", "elements").mapInArrow(run, "cid long"))
     out = materialise(rows.join(able, "cid", "left_semi"))
-    across.unpersist()
+    across.destroy()
     discard(able)
     return out
 
@@ -565,12 +570,14 @@ def labelled_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
     buckets = max(16, total * (100 - percent) * 4 // (100 + percent) // BUCKET_SIGNATURES)
     shared = materialise(shared_signatures(packed_signatures(given, n, percent, buckets)))
     known = context.broadcast((bit_table(shared), clash))
+    give_back()
     members = materialise(signature_rows(given, n, percent, known).join(shared, "seed", "left_semi"))
-    known.unpersist()
+    known.destroy()
     sized = materialise(members.select("cid", "size").distinct())
     sought = context.broadcast((bit_table(sized.select(F.col("cid").alias("seed"))), clash))
+    give_back()
     sets = materialise(wanted_sets(given, n, sought).join(sized.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
-    sought.unpersist()
+    sought.destroy()
 
     # one hub per class: of the members of its groups the one that shares most signatures
     hubs = members.groupBy("seed").agg(F.max(F.struct("weight", "cid")).alias("hub"))

@@ -6,6 +6,7 @@ no words. Everything works on slices of a few megabytes, so a task holds one sli
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,14 @@ def prepare(spark: SparkSession, batch_bytes: int = 16 << 20) -> SparkSession:
     return spark
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow and the C library keep it otherwise, in the driver for as long as it lives."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def free(columns: list[str], name: str) -> str:
     """A column name that is not taken yet."""
     while name in columns:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewise.llm.textkit import coded, mixed, slices, words
+from clausewise.llm.textkit import coded, give_back, mixed, slices, words
 from clausewise.session import materialise
 
 BUCKETS = 1 << 17
@@ -272,9 +272,16 @@ def fetched(docs: DataFrame, chosen: pa.Table) -> pa.Table:
     return found.orderBy("turn", "doc_id").toArrow()
 
 
+def learnt(docs: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of the labelled sample; the memory of its training goes back, since the driver lives on."""
+    model = train(*labelled_sample(docs, labels))
+    give_back()
+    return model
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, text`` (and more) to ``doc_id, held_out, score, predicted``, learning from ``labels(doc_id, toxic)``."""
-    model = train(*labelled_sample(docs, labels))
+    model = learnt(docs, labels)
     return apply(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), model, "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
     )
@@ -295,7 +302,7 @@ def apply(docs: DataFrame, model: Model | None, schema: str) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, all columns, without a shuffle."""
-    model = train(*labelled_sample(docs, labels))
+    model = learnt(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model and vars(model))
 
     def run(batches):
