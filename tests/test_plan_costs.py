@@ -1,7 +1,10 @@
 """What the queries of large tables move: rows dealt once, clauses read once."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from clausewise.functions import text
+from clausewise.operators import extract
 from clausewise.plans import catalog
 from clausewise.sources import results, sample_tables
 
@@ -36,3 +39,32 @@ def test_clauses_are_read_once(spark, monkeypatch, name):
 def test_rollup_moves_no_texts(spark):
     plan = catalog.QUERIES["category_rollup"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
     assert "max_by" not in plan and "title" not in plan
+
+
+def test_replies_to_pieces_are_read_once(spark):
+    """Both sides of the comparison with the piece before would else cut the texts and read the replies again."""
+    call = "named_struct('name', 'extract_interest_rate', 'arguments', '{\"rawValue\": \"5%\", \"charOffsetStart\": 3, \"charOffsetEnd\": 5}')"
+    replies = spark.range(1).selectExpr("id as audit_id", "explode(array(0L, 1L)) as piece_no", f"array({call}) as calls").selectExpr("*", "piece_no * 100 as piece_start")
+    got = extract.clauses_from_replies(replies, spark.range(1).selectExpr("id as audit_id", "'MORTGAGE' as contract_type"))
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.off_start for r in got.select("source.off_start").collect()) == [3, 103]
+
+
+def test_summary_requests_write_only_what_they_use(spark, monkeypatch):
+    """Passages, details and names of issues went to disk and back with every clause."""
+    written = []
+    real = catalog.materialise
+    monkeypatch.setattr(catalog, "materialise", lambda df: (written.extend(df.columns), real(df))[1])
+    assert catalog.QUERIES["summary_requests"](spark, SF).columns == ["audit_id", "n_lines", "digest"]
+    assert written and not {"verbatim", "summary", "clause_id", "issue_id", "detail", "tags"} & set(written)
+
+
+def test_plain_numbers_without_a_format(spark):
+    """The digits are those of a format with six places, for numbers of all sizes; no such call is made for them."""
+    values = [0.5, -0.5, 1e-7, -1e-7, 5e-7, 1e-6, 0.1234565, 2.675, 100.10, -3.000001, 12345678.9, 7.0, -0.0, 4503599627370495.5, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values + [k / 700 for k in range(-400, 900)]], "x double")
+    whole = F.floor("x").cast("bigint").cast("string")
+    formed = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", "x"), r"\.?0+$", ""), "^-0$", "0")
+    both = df.select("x", text.plain_number(F.col("x")).alias("got"), F.when(F.col("x") == F.floor("x"), whole).otherwise(formed).alias("wanted"))
+    assert both.filter(~F.col("got").eqNullSafe(F.col("wanted"))).collect() == []
+    assert "regexp" not in str(text.plain_number(F.col("x")))
