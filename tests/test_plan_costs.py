@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from clausewise.functions import text
-from clausewise.operators import extract
+from clausewise.functions import spans, text
+from clausewise.operators import cite, extract
 from clausewise.plans import catalog
 from clausewise.sources import results, sample_tables
 
@@ -68,3 +68,15 @@ def test_plain_numbers_without_a_format(spark):
     both = df.select("x", text.plain_number(F.col("x")).alias("got"), F.when(F.col("x") == F.floor("x"), whole).otherwise(formed).alias("wanted"))
     assert both.filter(~F.col("got").eqNullSafe(F.col("wanted"))).collect() == []
     assert "regexp" not in str(text.plain_number(F.col("x")))
+
+
+def test_a_text_is_cut_once_for_all_its_stretches(spark):
+    """Long pages were cut again for every 128 of their pieces, and for each of the two offsets of a quote."""
+    n = 20_000
+    page = spark.createDataFrame([(1, 1, "  ".join(f"w{i}" for i in range(n)))], "audit_id long, page_no int, text string")
+    plan = page.select(spans.find(F.col("text"), text.WORD).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    quotes = spark.createDataFrame([(1, f"w{n - 3}x w{n - 2} w{n - 1}")], "audit_id long, quote string")
+    got = cite.anchor_fuzzy(quotes, page)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    assert got.first().matched == f"w{n - 3}  w{n - 2}  w{n - 1}"
