@@ -1,3 +1,4 @@
+import re
 import json
 
 import pytest
@@ -241,3 +242,20 @@ def test_running_sums_and_marked_words(spark):
     pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "audit_id long, page_no int, text string")
     words = {r.page_no: [(w.word, w.off) for w in r.words] for r in page_text.with_words(pages).collect()}
     assert words == {0: [("a\u0001b", 0), ("c\u0001", 5)], 1: [("one", 1), ("two", 5)]}
+
+
+def test_words_are_placed_for_whole_batches(spark):
+    """Every text was walked word by word in interpreted steps that copied what they had so far; nulls, marks and odd blanks stay as they were."""
+    texts = ["one two", " a\u00a0b\u2028c  ", "", "  ", None, "x\u0001y \u0001z", "caf\u00e9 \U0001F600\U0001F600 end", " ".join(f"w{i}" for i in range(300))]
+    pages = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "audit_id long, page_no int, text string")
+    placed = page_text.with_words(pages)
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+    assert placed.schema["words"].dataType.simpleString() == page_text.WORDS
+    got = {r.page_no: r.words for r in placed.collect()}
+    for i, t in enumerate(texts):
+        if t is None:
+            assert got[i] is None
+            continue
+        want = [(m.group(), m.start(), m.start() / len(t), 0.0, m.end() / len(t), 1.0) for m in re.finditer(r"[^\s]+", t)]
+        assert [(w.word, w.off, w.box.x0, w.box.y0, w.box.x1, w.box.y1) for w in got[i]] == want, i
