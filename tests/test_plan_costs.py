@@ -80,3 +80,13 @@ def test_a_text_is_cut_once_for_all_its_stretches(spark):
     got = cite.anchor_fuzzy(quotes, page)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
     assert got.first().matched == f"w{n - 3}  w{n - 2}  w{n - 1}"
+
+
+def test_a_search_for_nothing_reads_no_page(spark):
+    """All pages were normalised, cut and joined where every quote had an exact place already."""
+    pages = spark.range(5).selectExpr("id as audit_id", "1 as page_no", "'some text' as text")
+    quotes = spark.createDataFrame([(1, " ")], "audit_id long, quote string")
+    got = cite.anchor_fuzzy(quotes, pages)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan and "Join" not in plan
+    assert got.columns[:3] == ["audit_id", "q", "page_no"] and got.collect() == []
